@@ -97,8 +97,8 @@ def _packed_sql() -> str:
     for name, field, key, blank_cuts in PACKED:
         blank = "" if blank_cuts else " "
         # Without look-ahead; the same on well-formed quotes.
-        pattern = r"""("(?:[^"]|"")*"|''(?:[^'']|)*|(?:[\p{L}\p{Nd}.:%\-BLANK]|\([^()]*\))+)""".replace("BLANK", blank)
-        clean = "trim(case when t like '\"%' then replace(t[2:len(t)-1], '\"\"', '\"') when t like '''%' then replace(t[2:len(t)-1], '''''', '''') else t end)"
+        pattern = r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|(?:[\p{L}\p{Nd}.:%\-BLANK]|\([^()]*\))+)""".replace("BLANK", blank).replace("'", "''")
+        clean = "trim(case when t like '\"%' then replace(t[2:len(t)-1], '\"\"', '\"') when t like '''%' then replace(t[2:len(t)-1], '\'\'\'\'\'\'', '\'\'\'\'') else t end)"
         parts.append(
             f"select '{name}.{field}' as field_name, {key} as row_id, list_filter(list_transform(regexp_extract_all({field}, '{pattern}'), lambda t: {clean}), lambda x: x <> '') as xs from {name}"
         )
