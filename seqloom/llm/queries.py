@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import leakage, neardup, seen
+from seqloom.llm import leakage, mixing, neardup, seen, subjects
 from seqloom.runtime import table
 
 
@@ -60,7 +60,47 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_audit, p1_sizes, p4_found, p4_groups, p6_found, p6_spans, p6_items)}
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).usage()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
+def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).blocks()
+
+
+#: The ten subjects of the hand labels.
+SUBJECTS = ["cooking", "finance", "gardening", "law", "medicine", "music", "science", "software", "sport", "travel"]
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "subject_labels"), SUBJECTS)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by subject; a document of two subjects counts half for each; null: no subject."""
+    found = _subjects(spark, sf_dir).select("doc_id", "subject")
+    n = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(found.join(n, "doc_id"), "doc_id", "left")
+    part = 1 / F.coalesce("n", F.lit(1))
+    return docs.groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum(part).alias("doc_weight"), F.sum(F.coalesce("n_chars", F.lit(0)) * part).alias("char_weight"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_audit, p1_sizes, p4_found, p4_groups, p6_found, p6_spans, p6_items, p7_usage, p7_shares, p7_blocks, p8_found, p8_composition)
+}
 
 _KEY = "nullif(lower(regexp_replace(nucleotide_id, '^\\s+|\\s+$', '', 'g')), '')"
 _WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
