@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.protein import col
+from seqloom.functions.protein import col, let
 
 #: Standard genetic code, codons in the order T, C, A, G of each place. Fixed value.
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -42,13 +42,13 @@ def translated(c: str | Column) -> Column:
     other letters goes through the map of ambiguous codons.
     """
     c = col(c)
-    digits = F.translate(c, "TCAG", "0123")
-    each = F.sequence(F.lit(0), F.floor(F.length(c) / 3).cast("int") - 1)
+    # The argument of a transform is made once; its function sees three letters, never the whole text.
+    codons = lambda text: F.regexp_extract_all(text, F.lit("(?s)..."), F.lit(0))
     code = F.array(*[F.lit(a) for a in AMINO_ACIDS])
-    plain = F.transform(each, lambda i: F.get(code, F.conv(F.substring(digits, i * 3 + 1, F.lit(3)), 4, 10).cast("int")))
+    plain = F.transform(codons(F.translate(c, "TCAG", "0123")), lambda x: F.get(code, F.conv(x, 4, 10).cast("int")))
     table = F.create_map(*[F.lit(x) for kv in codon_table().items() for x in kv])
-    mixed = F.transform(each, lambda i: F.coalesce(F.element_at(table, F.substring(c, i * 3 + 1, F.lit(3))), F.lit("X")))
-    return F.when(F.length(c) < 3, "").when(digits.rlike("[^0-3]"), F.array_join(mixed, "")).otherwise(F.array_join(plain, ""))
+    mixed = F.transform(codons(c), lambda x: F.coalesce(F.element_at(table, x), F.lit("X")))
+    return F.when(F.length(c) < 3, "").when(c.rlike("[^ACGT]"), F.array_join(mixed, "")).otherwise(F.array_join(plain, ""))
 
 
 def six_frames(contigs: DataFrame, dna: str = "dna") -> DataFrame:
@@ -76,15 +76,15 @@ def reading_frames(frames: DataFrame, contig: str = "contig_id") -> DataFrame:
 def imputed_junction(name: str | Column) -> Column:
     """60 nucleotides made from a name: the first 30 bytes of its SHA-256, each modulo 4 as A, C, T, G, twice."""
     h = F.sha2(col(name).cast("binary"), 256)
-    half = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.substring(F.lit("ACTG"), (F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 4) + 1, F.lit(1))), "")
+    base = lambda h, i: F.substring(F.lit("ACTG"), (F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    half = let(h, lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: base(h, i)), ""))
     return F.repeat(half, F.lit(2))
 
 
 def cut_sites(junction: str | Column, guide: int = 22) -> Column:
-    """Places of a guide whose following nucleotide is not G; 0 where the text is too short."""
-    q = col(junction)
-    sites = F.filter(F.sequence(F.lit(1), F.length(q) - guide), lambda i: F.substring(q, i + guide, F.lit(1)) != "G")
-    return F.when(F.length(q) > guide, F.size(sites)).otherwise(0)
+    """Places of a guide whose following nucleotide is not G: the nucleotides behind the first guide, without the Gs. 0 where the text is too short."""
+    behind = F.substring(col(junction), F.lit(guide + 1), F.length(col(junction)))
+    return F.when(F.length(col(junction)) > guide, F.length(F.replace(behind, F.lit("G"), F.lit("")))).otherwise(0)
 
 
 def back_mapped(start: Column, end: Column, frame: Column, contig_len: Column) -> tuple[Column, Column]:

@@ -17,6 +17,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value made once, however often use refers to it inside other functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def letters(c: str | Column) -> Column:
     """Only the letters of a sequence, in upper case."""
     return F.regexp_replace(F.upper(col(c)), "[^A-Z]+", "")
@@ -33,13 +38,15 @@ def motif_spans(seq: str | Column, motif: str = MOTIF) -> Column:
     The texts of the matches are placed one by one behind the end of the one before: an earlier
     place of the same text there would have been the match itself.
     """
-    seq = col(seq)
 
-    def put(done: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, seq, F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) + 1)
-        return F.array_append(done, F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(m)).cast("int").alias("end")))
+    def spans_in(seq: Column) -> Column:
+        def put(done: Column, m: Column) -> Column:
+            at = F.call_function("locate", m, seq, F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) + 1)
+            return F.array_append(done, F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(m)).cast("int").alias("end")))
+
+        return F.aggregate(F.regexp_extract_all(seq, F.lit(f"({motif})"), F.lit(1)), F.array().cast(SPAN), put)
 
-    return F.aggregate(F.regexp_extract_all(seq, F.lit(f"({motif})"), F.lit(1)), F.array().cast(SPAN), put)
+    return let(col(seq), spans_in)
 
 
 def starts_complete(seq: str | Column, required: bool = True, empty_passes: bool = True) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["data_problems", "sequences"]
+MODULES = ["targets", "data_problems", "sequences"]
 
 
 def registry() -> tuple[dict, dict]:
