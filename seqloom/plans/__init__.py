@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["targets", "data_problems", "sequences"]
+MODULES = ["targets", "data_problems", "sequences", "similarity"]
 
 
 def registry() -> tuple[dict, dict]:
