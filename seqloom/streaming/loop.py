@@ -12,11 +12,13 @@ from seqloom.runtime import shared_dir
 
 
 def stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The files of a parquet table as a stream."""
+    """The files of a parquet table, a folder or a single file, as a stream."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    # As a pattern, the name may be that of a file.
+    return reader.parquet(f"{folder}/{{{name}}}")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -58,7 +60,7 @@ def mine(df: DataFrame, key: str, order: str, known: DataFrame, folder: str) ->
 
 def windowed(df: DataFrame, at: str, by: str, value: str, width: str, late: str, folder: str) -> DataFrame:
     """start, by, n, total per tumbling window, with a watermark; the table after all that is there."""
-    sums = df.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    sums = df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     out = sums.select(F.col("window.start").alias("start"), by, "n", "total")
 
     def each(batch: DataFrame, n: int) -> None:
