@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.graph import components
 from seqloom.runtime import cut
 
 K = 5
@@ -212,32 +213,8 @@ class NearDuplicates:
         reachable by links, n_links the number of other classes its class is alike to.
         """
         links = cut(self.links().select("a", "b"))
-        label = components(links)
+        label = components(links).withColumnRenamed("node", "cls")
         degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
         copies = self.members.groupBy("cls").agg(F.count("*").alias("n_copies"))
         per_class = copies.join(label, "cls", "left").join(degree, "cls", "left").select("cls", "n_copies", F.coalesce("label", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         return self.members.join(per_class, "cls").select("rec_id", F.col("cls").alias("class_id"), "n_copies", "group_id", "n_links")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """cls, label: the smallest node of each node's connected component, for all nodes with a link.
-
-    Alternating large-star and small-star steps; the edges stay in the cluster and the number of
-    rounds grows with the logarithm of the longest chain.
-    """
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        same = edges.select("u", "v").exceptAll(small).limit(1).count() == 0 and small.exceptAll(edges.select("u", "v")).limit(1).count() == 0
-        edges = small
-        if same:
-            break
-    leaf = edges.select(F.col("u").alias("cls"), F.col("v").alias("label"))
-    return leaf.unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
