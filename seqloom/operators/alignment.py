@@ -45,6 +45,7 @@ def scores() -> np.ndarray:
 
 
 SCORES = scores()
+SCORE_LISTS = SCORES.tolist()
 
 
 def identity(a: str, b: str, gap: int = 0) -> float:
@@ -59,18 +60,23 @@ def identity(a: str, b: str, gap: int = 0) -> float:
     steps = np.arange(len(y) + 1) * gap
     h = np.empty((len(x) + 1, len(y) + 1), np.int32)
     h[0] = -steps
+    against = np.ascontiguousarray(SCORES[:, y])
     for i in range(1, len(x) + 1):
         best = h[i - 1] - gap
-        best[1:] = np.maximum(best[1:], h[i - 1, :-1] + SCORES[x[i - 1], y])
+        np.maximum(best[1:], h[i - 1, :-1] + against[x[i - 1]], out=best[1:])
         # A run of gaps in a costs gap per letter: a running maximum once that slope is taken out.
-        h[i] = np.maximum.accumulate(best + steps) - steps
+        if gap:
+            h[i] = np.maximum.accumulate(best + steps) - steps
+        else:
+            np.maximum.accumulate(best, out=h[i])
+    x, y, at = x.tolist(), y.tolist(), h.item
     i, j, same, columns = len(x), len(y), 0, 0
     while i and j:
         columns += 1
-        if h[i, j] == h[i - 1, j - 1] + SCORES[x[i - 1], y[j - 1]]:
+        if at(i, j) == at(i - 1, j - 1) + SCORE_LISTS[x[i - 1]][y[j - 1]]:
             same += x[i - 1] == y[j - 1]
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - gap:
+        elif at(i, j) == at(i - 1, j) - gap:
             i -= 1
         else:
             j -= 1
@@ -78,7 +84,12 @@ def identity(a: str, b: str, gap: int = 0) -> float:
 
 
 def with_identity(pairs: DataFrame, a: str, b: str, gap: int = 0) -> DataFrame:
-    """Adds identity of the two sequence columns (letters A to Z); null if either is null. Rows keep their other columns."""
+    """Adds identity of the two sequence columns (letters A to Z); null if either is null. Rows keep their other columns.
+
+    A pair takes thousands of times as long to align as to move, so pairs are dealt out evenly.
+    """
+    spark = pairs.sparkSession
+    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     @F.pandas_udf("double")
     def of(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([None if s is None or t is None else identity(s, t, gap) for s, t in zip(p, q, strict=True)], dtype="float64")

@@ -22,12 +22,15 @@ FILE_SALTS = 32
 def raw_kind(variant: Column, raw: Column) -> Column:
     """boolean, integer, decimal, text or null (JSON null) of one value; objects and arrays are text.
 
-    The number's own text tells integers from decimals: a variant drops the zeros of "3.0".
+    The number's own text tells integers from decimals: a variant drops the zeros of "3.0". An
+    object that names a field twice has no variant; its values are typed by their text.
     """
     s = F.schema_of_variant(variant)
+    by_text = F.when(raw.isNull(), None).when(raw.isin("true", "false"), "boolean").when(raw.rlike(r"^-?\d+$"), "integer").when(raw.rlike(r"^-?\d+\.\d+$"), "decimal").otherwise("text")
     number = s.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     return (
-        F.when(s == "VOID", None)
+        F.when(variant.isNull(), by_text)
+        .when(s == "VOID", None)
         .when(s == "BOOLEAN", "boolean")
         .when(number & raw.rlike(r"^-?\d+$"), "integer")
         .when(number, "decimal")

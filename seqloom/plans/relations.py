@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import protein, texts
 from seqloom.operators import design, history, structure
-from seqloom.runtime import key_of, table
+from seqloom.runtime import key_of, spread, table
 
 
 def _visits(spark, d):
@@ -125,7 +125,7 @@ def best_scores(spark, d):
 
 
 def seeded_mutants(spark, d):
-    rows = table(spark, d, "mined_proteins").select(F.col("rec_id").alias("rec"), protein.letters("seq").alias("seq")).where("seq is not null")
+    rows = spread(table(spark, d, "mined_proteins").select("rec_id", "seq")).select(F.col("rec_id").alias("rec"), protein.letters("seq").alias("seq")).where("seq is not null")
     return design.mutants(rows).select("rec", "mutant_no", "description", F.md5("mutant").alias("mutant_md5"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dna, protein, texts
 from seqloom.operators import repeats
-from seqloom.runtime import table
+from seqloom.runtime import spread, table
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nucleotide contigs derived from the mined records: residues as bases around three copies of the repeats."""
     base = F.translate(protein.letters("seq"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTTGCAACGTGGCATACGTTCAGA")
     d = F.regexp_replace(F.upper(F.coalesce("repeat_domains", F.lit(""))), "[^ACGT]", "")
-    rows = table(spark, sf_dir, "mined_proteins").where("seq is not null").select(F.col("rec_id").alias("contig_id"), base.alias("b"), d.alias("d"))
+    rows = spread(table(spark, sf_dir, "mined_proteins").select("rec_id", "seq", "repeat_domains")).where("seq is not null").select(F.col("rec_id").alias("contig_id"), base.alias("b"), d.alias("d"))
     return rows.select("contig_id", F.expr("concat(substr(b, 1, 200), d, substr(b, 201, 40), d, substr(b, 241, 40), d, substr(b, 281))").alias("dna"))
 
 

@@ -8,7 +8,7 @@ from seqloom.functions import protein, vectors
 from seqloom.operators import alignment, family, vectorsearch
 from seqloom.operators.graph import components
 from seqloom.operators.specificity import top_per_group
-from seqloom.runtime import cut, table
+from seqloom.runtime import cut, spread, table
 
 
 def _vectors(spark, d):
@@ -67,7 +67,7 @@ def parent_identity(spark, d):
 
 
 def _family_rows(spark, d):
-    rows = table(spark, d, "mined_proteins").select(F.col("rec_id").alias("rec"), protein.letters("seq").alias("seq")).where("seq is not null")
+    rows = spread(table(spark, d, "mined_proteins").select("rec_id", "seq")).select(F.col("rec_id").alias("rec"), protein.letters("seq").alias("seq")).where("seq is not null")
     return rows.withColumn("part", protein.motif_count("seq"))
 
 
@@ -99,5 +99,5 @@ ORACLE = {
     "max_ref_similarity": f"select vec_id, round(sim, 4) as sim, ref from {_CLOSEST}",
     "similarity_band": f"select vec_id, round(sim, 4) as sim from {_CLOSEST} where sim between 0.15 and 0.6",
     "top_n_per_ref": f"select ref, vec_id, rank from (select ref, vec_id, row_number() over (partition by ref order by sim desc, vec_id) as rank from {_CLOSEST} where ref is not null) where rank <= 5",
-    "mean_vectors": "select label, i - 1 as dim, round(avg(cast(embedding[i] as double)), 4) as mean from embeddings, range(1, 65) t(i) group by 1, 2",
+    "mean_vectors": "select label, i - 1 as dim, round(avg(cast(embedding[i] as double)), 4) + 0.0 as mean from embeddings, range(1, 65) t(i) group by 1, 2",
 }

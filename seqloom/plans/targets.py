@@ -99,11 +99,12 @@ def _samples(spark, d):
 
 
 def expression_stats(spark, d):
-    return expression.context_stats(_samples(spark, d).withColumn("context", expression.context("tissue", NORMAL, CANCER)))
+    stats = expression.context_stats(_samples(spark, d).withColumn("context", expression.context("tissue", NORMAL, CANCER)))
+    return stats.withColumns({c: F.round(c, 6) for c in ("normal_mean", "cancer_mean")})
 
 
 def tissue_means(spark, d):
-    return expression.tissue_mean(_samples(spark, d))
+    return expression.tissue_mean(_samples(spark, d)).withColumn("mean_of_means", F.round("mean_of_means", 6))
 
 
 def tissue_labels(spark, d):
@@ -175,8 +176,8 @@ def _junction_sql(name):
 _SITES = "len(replace(junction[23:], 'G', ''))"
 _VALID = "associated_disease is not null and lower(trim(associated_disease)) not in ('', 'unknown', 'nan')"
 _CONTEXT = "case when event_type in ('view', 'click') then 'normal' when event_type in ('purchase', 'signup') then 'cancer' else 'unknown' end"
-_STATS = f"""(select user_id as gene, coalesce(avg(value) filter (where c = 'normal'), 0) as normal_mean, coalesce(max(value) filter (where c = 'normal'), 0) as normal_max, count(value) filter (where c = 'normal') as normal_n,
-    coalesce(avg(value) filter (where c = 'cancer'), 0) as cancer_mean, coalesce(max(value) filter (where c = 'cancer'), 0) as cancer_max, count(value) filter (where c = 'cancer') as cancer_n
+_STATS = f"""(select user_id as gene, round(coalesce(avg(value) filter (where c = 'normal'), 0), 6) as normal_mean, coalesce(max(value) filter (where c = 'normal'), 0) as normal_max, count(value) filter (where c = 'normal') as normal_n,
+    round(coalesce(avg(value) filter (where c = 'cancer'), 0), 6) as cancer_mean, coalesce(max(value) filter (where c = 'cancer'), 0) as cancer_max, count(value) filter (where c = 'cancer') as cancer_n
     from (select *, {_CONTEXT} as c from events) group by 1)"""
 
 ORACLE = {
@@ -200,7 +201,7 @@ ORACLE = {
     "fusion_partners": f"select fusion, i - 1 as place, g[i] as gene from (select fusion, list_filter(string_split(replace(fusion, '--', '-'), '-'), lambda x: len(x) > 2) as g from {_FUSIONS}), lateral (select unnest(range(1, len(g) + 1)) as i)",
     "leads_summary": f"select {_SITES} as n_sites, count(*) as n_fusions, min(fusion) as first_fusion from (select fusion, {_junction_sql('fusion')} as junction from {_FUSIONS}) group by 1",
     "expression_stats": f"select * from {_STATS}",
-    "tissue_means": "select gene, avg(m) as mean_of_means, count(*) as n_tissues from (select user_id as gene, event_type, avg(value) as m from events group by 1, 2) group by 1",
+    "tissue_means": "select gene, round(avg(m), 6) as mean_of_means, count(*) as n_tissues from (select user_id as gene, event_type, avg(value) as m from events group by 1, 2) group by 1",
     "tissue_labels": f"select trim(event_type) as label, count(*) as n, any_value({_CONTEXT}) as context from events group by 1",
     "first_failures": f"""select gene as item, cancer_n > 0 and normal_mean < 20 and cancer_max > 100 as ok,
         case when not cancer_n > 0 then 'no cancer samples' when not normal_mean < 20 then 'high in normal' when not cancer_max > 100 then 'low in cancer' end as reason from {_STATS}""",

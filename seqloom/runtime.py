@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few small files, dealt out to all cores before a costly step; a scan with enough parts stays as it is.
+
+    Only for plans without a shuffle, which would run to count its parts.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def small_or_none(df: DataFrame, max_rows: int) -> list | None:
     """The rows of df if there are at most max_rows, else None; never more than max_rows + 1 reach the driver."""
     rows = df.limit(max_rows + 1).collect()
