@@ -75,7 +75,7 @@ def scanner(wanted: dict[str, list[tuple[int, str]]]):
                 def close(who: tuple[int, str], a: int, z: int) -> None:
                     rows.append((doc_id, who[0], who[1], starts[a], ends[z], z - a + 1))
 
-                for end, (length, who) in automaton.iter(joined):
+                for end, (length, who) in automaton.iter(joined) if wanted else ():
                     a = bisect_left(places, end - length + 2)
                     z = bisect_left(places, end) - 1
                     for w in who:
