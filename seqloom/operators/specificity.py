@@ -11,7 +11,7 @@ def unpivoted(matrix: DataFrame, label: str, row_ord: str | None = None, skip: s
     keep = [label] + ([row_ord] if row_ord else [])
     cols = [c for c in matrix.columns if c not in keep and not c.startswith(skip)]
     quoted = [F.col(f"`{c}`").cast("string").alias(c) for c in cols]
-    long_ = matrix.select(*keep, *quoted).unpivot(keep, cols, "fusion", "raw")
+    long_ = matrix.select(*keep, *quoted).unpivot(keep, [F.col(f"`{c}`") for c in cols], "fusion", "raw")
     at = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)]) if cols else F.lit(None)
     return long_.withColumn("n", F.expr("try_cast(raw as double)")).where("n is not null").select(*keep, "fusion", F.element_at(at, F.col("fusion")).alias("col_ord"), "n")
 
