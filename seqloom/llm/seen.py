@@ -135,11 +135,12 @@ class SeenKeys:
         # Exact within a generation, and pre-aggregated before anything is shuffled.
         self.first = hashed(self.rows.groupBy("gen", "key").agg(F.min("at").alias("at")))
         levels = [F.when(F.shiftright("gen", level).bitwiseAND(1) == 0, level * (1 << LEVELS) + F.shiftright("gen", level)) for level in range(LEVELS)]
-        members = self.first.select("shard", "h", F.explode(F.array_compact(F.array(*levels))).alias("node"))
+        # `at` is kept on this side too, so that sets and probes share one shuffle of the first records.
+        members = self.first.where("at is not null").select("shard", "h", F.explode(F.array_compact(F.array(*levels))).alias("node"))
         base = hashed(known.select(key_of(known_key).alias("key")).where("key is not null").distinct()).select("shard", "h", F.lit(BASE).alias("node"))
         self.blocks = members.unionByName(base).groupBy("node", "shard").applyInPandas(encode_set, BLOCKS)
         self.answers = (
-            self.first.select("shard", "at", "gen", "h").groupBy("shard").cogroup(self.blocks.groupBy("shard")).applyInPandas(probe, "at long, gen int, seen boolean")
+            self.first.where("at is not null").select("shard", "at", "gen", "h").groupBy("shard").cogroup(self.blocks.groupBy("shard")).applyInPandas(probe, "at long, gen int, seen boolean")
         )
 
     def found(self) -> DataFrame:
