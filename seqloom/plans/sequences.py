@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna, protein, texts
-from seqloom.operators import repeats
+from seqloom.config import MiningConfig
+from seqloom.operators import mining, repeats
 from seqloom.runtime import spread, table
 
 
@@ -162,10 +163,29 @@ def family_size(spark, d):
     return rows.groupBy("family").agg(F.countDistinct("new_id").alias("n_members"), F.max("hepn_count").alias("most_motifs")).orderBy(F.length("family"), "family")
 
 
+#: Frames of the derived contigs are short.
+SHORT = MiningConfig(min_orf=30, filter_motifs=False, crispr_flank_bp=300)
+
+
+def mined_candidates(spark, d):
+    return mining.candidates(contigs(spark, d), SHORT).select("contig_id", "frame", "orf_index", "start_nt", "end_nt", "n_repeats")
+
+
+def contig_stats(spark, d):
+    c = contigs(spark, d)
+    return mining.stats(c, mining.candidates(c, SHORT))
+
+
+def structured_frames(spark, d):
+    """Frames that pass the whole predicate, with one motif at least and a short tail."""
+    rows = mining.frames_of(contigs(spark, d)).where("length(orf) >= 30")
+    return rows.withColumn("ok", mining.complete(MiningConfig(min_cterm_tail=2))).groupBy("contig_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (motif_count, motif_band, motif_spans, motif_topology, full_protein, protected_positions, domain_spans, linker_charge, span_merge, span_complement, first_by_sequence, last_by_id, fasta_lines,
-              reverse_complement, six_frame, orf_bounds, full_orf, orf_stats, kmer_repeats, repeat_regions, crispr_flag, flank_join, tandem_repeats, family_size)
+              reverse_complement, six_frame, orf_bounds, full_orf, orf_stats, kmer_repeats, repeat_regions, crispr_flag, flank_join, tandem_repeats, family_size, mined_candidates, contig_stats, structured_frames)
 }
 
 _WIDE = f"select rec_id, n, list_sort(list_transform(starts, lambda s, i: {{'start': greatest(s - 50, 0), 'end': least(ends[i] + 50, n)}})) as w from {_SPANS}"
@@ -178,6 +198,11 @@ _KMERS = f"select contig_id, len(dna) as n, k, i as pos, dna[i+1:i+k] as kmer fr
 _NEEDED = "case when n < 1500 then 2 else 3 end"
 _REGIONS = f"select contig_id, k, kmer, cast(min(pos) as integer) as lo, cast(max(pos) + k as integer) as hi, count(*) as n_copies from ({_KMERS}) group by contig_id, n, k, kmer having count(*) >= {_NEEDED}"
 
+_CANDIDATES = f"""select o.contig_id, frame, orf_index, start_nt, end_nt, n_repeats from (select *, start_nt + 3 * len(orf) as end_nt, case when frame < 3 then start_nt else contig_len - 1 - start_nt - 3 * len(orf) end as lo,
+        case when frame < 3 then start_nt + 3 * len(orf) else contig_len - 1 - start_nt end as hi from {_ORFS} where len(orf) between 30 and 1400 and orf like 'M%') o
+    join (select contig_id, count(*) as n_repeats from ({_REGIONS}) group by 1) n using (contig_id)
+    where exists (select 1 from ({_REGIONS}) r where r.contig_id = o.contig_id and greatest(r.lo - o.hi, o.lo - r.hi, 0) <= 300)"""
+
 ORACLE = {
     "motif_count": f"select rec_id, len(regexp_extract_all(seq, {_MOTIF})) as n_motifs from {_PROT}",
     "motif_band": f"select rec_id, len(regexp_extract_all(seq, {_MOTIF})) as n_motifs from {_PROT} where len(regexp_extract_all(seq, {_MOTIF})) between 2 and 3",
@@ -205,5 +230,11 @@ ORACLE = {
     "crispr_flag": f"select d.contig_id, len(d.dna) >= 400 and r.contig_id is not null as has_repeats from {_DNA} d left join (select distinct contig_id from ({_REGIONS})) r using (contig_id)",
     "flank_join": f"""select distinct o.contig_id, frame, orf_index, o.lo, o.hi from (select contig_id, frame, orf_index, case when frame < 3 then start_nt else contig_len - 1 - start_nt - 3 * len(orf) end as lo,
         case when frame < 3 then start_nt + 3 * len(orf) else contig_len - 1 - start_nt end as hi from {_ORFS} where len(orf) >= 30) o join ({_REGIONS}) r using (contig_id) where greatest(r.lo - o.hi, o.lo - r.hi, 0) <= 50""",
+    "mined_candidates": f"select contig_id, frame, orf_index, start_nt, end_nt, n_repeats from ({_CANDIDATES})",
+    "contig_stats": f"""select d.contig_id, len(d.dna) as n, coalesce(c.n, 0) as n_candidates, coalesce(c.longest, 0) as longest, r.contig_id is not null as has_repeats from {_DNA} d
+        left join (select contig_id, count(*) as n, max((end_nt - start_nt) // 3) as longest from ({_CANDIDATES}) group by 1) c using (contig_id) left join (select distinct contig_id from ({_REGIONS})) r using (contig_id)""",
+    "structured_frames": f"""select contig_id, count(*) as n, count(*) filter (where orf like 'M%' and regexp_matches(orf, '^.*R[^\\n]{{4,6}}H.{{2,}}$') and tail >= 2 and not
+        case when frame < 3 then start_nt < 30 or start_nt + 3 * len(orf) > contig_len - 30 else start_nt + 3 * len(orf) > contig_len - 31 or start_nt < 30 end) as n_ok
+        from (select *, len(string_split(regexp_replace(orf, {_MOTIF}, chr(1), 'g'), chr(1))[-1]) as tail from {_ORFS} where len(orf) >= 30) group by 1""",
     "family_size": "select split_part(new_id, '_', 1) as family, count(distinct new_id) as n_members, max(hepn_count) as most_motifs from family_manifest group by 1",
 }
