@@ -56,7 +56,7 @@ def stripped_of(c: str | Column, suffixes: list[str]) -> Column:
     """The text without each of the suffixes, tried once each, in order, case ignored."""
     out = F.trim(col(c))
     for s in suffixes:
-        out = F.trim(F.regexp_replace(out, f"(?i){s}$", ""))
+        out = F.trim(F.regexp_replace(out, f"(?i)\\Q{s}\\E$", ""))
     return out
 
 

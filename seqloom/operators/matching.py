@@ -9,6 +9,8 @@ from seqloom.functions import dna, texts
 
 #: Shortest junction that is used as given.
 LEAST_JUNCTION = 30
+#: Targets of one screening run at most.
+MAX_TARGETS = 1000
 
 
 def junctions(targets: DataFrame, given: DataFrame | None = None) -> DataFrame:
@@ -39,10 +41,13 @@ def top_targets(targets: DataFrame, n: int, *order) -> DataFrame:
 def match(targets: DataFrame, enzymes: DataFrame) -> DataFrame:
     """Each target that can be cut with each enzyme.
 
-    targets: fusion, disease, patients, junction, junction_source, at most the few of one
-    screening run (see top_targets), which are sent to all enzymes; enzymes: enzyme. The count of
-    cut sites depends on the target alone and is made before the join. A null disease stays null.
+    targets: fusion, disease, patients, junction, junction_source, the list of one screening run
+    (see top_targets), sent to all enzymes and refused beyond MAX_TARGETS; enzymes: enzyme. The
+    count of cut sites depends on the target alone and is made before the join. A null disease
+    stays null.
     """
+    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets in a run; take the first of them with top_targets")
     scored = targets.withColumn("valid_cut_sites", dna.cut_sites("junction")).where("valid_cut_sites > 0").withColumn("junction_preview", texts.preview("junction"))
     return enzymes.select("enzyme").crossJoin(F.broadcast(scored)).select("fusion", "disease", "patients", "enzyme", "valid_cut_sites", "junction_preview", "junction_source")
 

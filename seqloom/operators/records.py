@@ -9,8 +9,8 @@ from seqloom.functions import texts
 from seqloom.operators.specificity import top_per_group
 from seqloom.runtime import cut, small_or_none
 
-#: Endings that a query loses before it is tried again. Fixed values.
-QUERY_SUFFIXES = [" metagenome", " metagenomic", " genome", " assembly", " wgs", " contigs", " sequences"]
+#: Endings that a search term loses, in this order, once each. Fixed values.
+QUERY_SUFFIXES = [" wgs[Prop]", " wgs[prop]", "[Prop]", "[prop]", "[Title]", "[title]", "[All Fields]"]
 
 
 def with_parents(records: DataFrame, parents: DataFrame) -> DataFrame:

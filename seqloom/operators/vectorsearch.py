@@ -9,9 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions import vectors
-from seqloom.runtime import broadcast_within
-
 BASE_ROWS, QUERY_ROWS = 4096, 1024
 
 
@@ -63,15 +60,13 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k)
 
 
-def closest_reference(rows: DataFrame, refs: DataFrame, vector: str, max_refs: int = 1000) -> DataFrame:
-    """Adds sim and ref: the largest cosine to any reference, at least 0, and the first reference that has it (null if none is above 0).
+def closest_reference(rows: DataFrame, key: str, vector: str, refs: DataFrame) -> DataFrame:
+    """key, sim, ref of every row: the largest cosine to any reference, at least 0, and the first reference that has it (null if none is above 0).
 
-    refs: ref, ref_vector; the reference set of a run, broadcast as long as it has at most max_refs rows.
+    refs: the same key and vector columns, of any number; they are searched in blocks.
     """
-    small = broadcast_within(refs, max_refs)
-    each = rows.crossJoin(small).withColumn("_c", vectors.cosine(vector, "ref_vector"))
-    best = each.groupBy(*rows.columns).agg(F.max("_c").alias("_m"), F.max_by("ref", F.struct("_c", -F.col("ref"))).alias("_r"))
-    return best.select(*rows.columns, F.greatest(F.coalesce("_m", F.lit(0.0)), F.lit(0.0)).alias("sim"), F.when(F.col("_m") > 0, F.col("_r")).alias("ref"))
+    best = nearest(rows.select(key, vector), refs.select(key, vector), key, vector, 1, itself=True).select(F.col("query").alias(key), F.col("id").alias("_r"), F.col("score").alias("_m"))
+    return rows.select(key).join(best, key, "left").select(key, F.greatest(F.coalesce("_m", F.lit(0.0)), F.lit(0.0)).alias("sim"), F.when(F.col("_m") > 0, F.col("_r")).alias("ref"))
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -38,8 +38,8 @@ def interpolate_nearest(spark, d):
 
 def _closest(spark, d):
     v = _vectors(spark, d)
-    refs = v.groupBy("label").agg(F.min_by("vec_id", "vec_id").alias("ref"), F.min_by("embedding", "vec_id").alias("ref_vector")).drop("label")
-    return vectorsearch.closest_reference(v.select("vec_id", "embedding"), refs, "embedding").drop("embedding")
+    refs = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding"))
+    return vectorsearch.closest_reference(v, "vec_id", "embedding", refs)
 
 
 def max_ref_similarity(spark, d):

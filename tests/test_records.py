@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from seqloom.config import MiningConfig
+from seqloom.functions.texts import stripped_of
 from seqloom.operators import mining, records
 from tests.conftest import rows
 
@@ -36,6 +37,11 @@ def test_fallbacks(spark, tmp_path):
     assert [r[0] for r in df.select(records.chosen_ids("r")).collect()] == [["1", "22", "3"], ["5", "66", "7"], None, None]
 
 
+def test_query_suffixes(spark):
+    df = spark.createDataFrame([(" marine WGS[prop] ",), ("x[title][Title]",), ("plain",), ("a[All Fields]",)], "q string")
+    assert [r[0] for r in df.select(stripped_of("q", records.QUERY_SUFFIXES)).collect()] == ["marine", "x", "plain", "a"]
+
+
 def test_small_joins(spark):
     a = spark.createDataFrame([("a", "AA"), ("a", "AB")], "id string, seq string")
     assert sorted(rows(records.with_parents(a, spark.createDataFrame([("a", "X"), ("b", "Y")], "id string, seq string")))) == [("a", "AA"), ("a", "AB"), ("b", "Y")]
