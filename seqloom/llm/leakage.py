@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-#: Patterns of one automaton; more items than fit are scanned in further passes, each over all texts.
-MAX_PATTERN_CHARS = 20_000_000
+#: Letters in the patterns of one automaton (about 100 MB of it); more items than fit are scanned in further passes, each over all texts.
+MAX_PATTERN_CHARS = 2_000_000
 LEAKS = "doc_id long, item_id long, part string, start_char int, end_char int, n_words int"
 
 
