@@ -120,6 +120,17 @@ def _orphan_sql() -> str:
     return " union all ".join(parts)
 
 
+def _current_sql() -> str:
+    parts = []
+    for ref_field, source, key, _, _, target, t_key, begins, ends in REFS:
+        parts.append(
+            f"select '{ref_field}' as ref_field, r.k, r.n as n_refs, coalesce(t.seen, 0) as n_targets_seen from (select {_key_sql(key)} as k, count(*) as n from {source} group by 1) r "
+            f"left join (select {_key_sql(t_key)} as k, count({begins}) as seen, count(*) filter (where {begins} is not null and {ends} is null) as alive from {target} group by 1) t on t.k = r.k "
+            "where r.k is not null and coalesce(t.alive, 0) <= 0"
+        )
+    return " union all ".join(parts)
+
+
 _VALUES_SQL = """select f.*, k.path as path, json_extract_string(payload, '$."' || k.path || '"') as raw,
     case json_type(payload, '$."' || k.path || '"') when 'BOOLEAN' then 'boolean' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'NULL' then null else 'text' end as kind
     from fusion_files f, lateral (select unnest(json_keys(payload)) as path) k"""
@@ -155,6 +166,7 @@ ORACLE = {
         count(*) filter (where kind = 'integer') as n_integer, count(*) filter (where kind = 'decimal') as n_decimal, count(*) filter (where kind = 'text') as n_text,
         case when count(kind) = 0 then null when count(*) filter (where kind = 'boolean') = count(kind) then 'boolean' when count(*) filter (where kind = 'integer') = count(kind) then 'integer'
         when count(*) filter (where kind in ('integer', 'decimal')) = count(kind) then 'decimal' else 'text' end as type from ({_VALUES_SQL}) group by 1, 2, 3, 4, 5""",
+    "p5_current": _current_sql(),
     "p5_found": f"select ref_field, row_id, orphan_kind from ({_orphan_sql()})",
     "p5_report": f"select ref_field, strftime(t, '%Y-%m') as month, orphan_kind, count(*) as n_refs, count(distinct k) as n_keys from ({_orphan_sql()}) group by 1, 2, 3",
 }
