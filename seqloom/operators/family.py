@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vectors
+from seqloom.operators.graph import components
 from seqloom.runtime import cut
 
 DIM = 256
@@ -69,14 +71,57 @@ def similar(points: DataFrame, threshold: float, seed: int = 11) -> DataFrame:
     return verified.select("a", "b", "sim").unionByName(copies)
 
 
-def average_linkage(points: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+def linkage_of(ids: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
+    """The cluster (its smallest id) of each of a few unit vectors, by average linkage; ids ascending."""
+    n = len(ids)
+    sums, size, cluster = v @ v.T, np.ones(n), np.arange(n)
+    alive = np.triu(np.ones((n, n), bool), 1)
+    while True:
+        mean = np.where(alive, np.round(sums / np.outer(size, size), 12), -2.0)
+        a, b = divmod(int(mean.argmax()), n)
+        if mean[a, b] < threshold:
+            return ids[cluster]
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
+        size[a] += size[b]
+        alive[b] = alive[:, b] = False
+        cluster[cluster == b] = a
+
+
+def average_linkage(points: DataFrame, links: DataFrame, threshold: float, local: int = 500) -> DataFrame:
     """id, cluster (its smallest id): average-linkage clusters of unit vectors, cut where the mean cosine falls under the threshold.
 
-    The mean cosine of two clusters is the dot product of their mean vectors, and two clusters
-    can only merge if some pair between them is linked. So each round joins the linked clusters
-    with their vector sums and merges all pairs that are each other's best; for average linkage
-    that gives the same tree as merging one pair after another. Ties go to the smallest ids.
-    points: id, v; links: a, b with cosines of at least the threshold.
+    Two clusters can only merge if some pair between them is linked, so clusters lie within
+    connected components of the links. A component of at most `local` points is clustered in one
+    task; larger ones in rounds of joins, see in_rounds. points: id, v; links: a, b with cosines
+    of at least the threshold.
+    """
+    part = cut(components(links.select("a", "b")))
+    few = part.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") <= local).select("label")
+    labelled = points.select("id", "v").join(part.withColumnRenamed("node", "id"), "id", "left").join(few.withColumn("few", F.lit(True)), "label", "left")
+    labelled = cut(labelled.select("id", "v", "label", F.coalesce("few", F.lit(False)).alias("few")))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy(np.int64)
+        return pd.DataFrame({"id": ids, "cluster": linkage_of(ids, np.stack(pdf["v"].to_numpy()), threshold)})
+
+    alone = labelled.where("label is null").select("id", F.col("id").alias("cluster"))
+    small = labelled.where("few").select("label", "id", "v").groupBy("label").applyInPandas(solve, "id long, cluster long")
+    large = labelled.where("label is not null and not few")
+    if not large.limit(1).count():
+        return alone.unionByName(small)
+    inside = links.join(large.select(F.col("id").alias("a")), "a", "left_semi")
+    return alone.unionByName(small).unionByName(in_rounds(large, inside, threshold))
+
+
+def in_rounds(points: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """id, cluster: average linkage of components too large for one task.
+
+    The mean cosine of two clusters is the dot product of their mean vectors. So each round
+    joins the linked clusters with their vector sums and merges all pairs that are each other's
+    best; for average linkage that gives the same tree as merging one pair after another. Ties
+    go to the smallest ids.
     """
     state = cut(points.select("id", F.col("id").alias("cluster"), "v"))
     edges = cut(links.select("a", "b").distinct())

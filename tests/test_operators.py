@@ -70,7 +70,8 @@ def test_components(spark, seed):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_average_linkage(spark):
+@pytest.mark.parametrize("local", [500, 10, 0])
+def test_average_linkage(spark, local):
     rng = np.random.default_rng(4)
     centers = rng.standard_normal((6, 16)) * 1.0
     v = np.concatenate([c + rng.standard_normal((8, 16)) * 0.55 for c in centers])
@@ -86,7 +87,7 @@ def test_average_linkage(spark):
     want = {i: min(g) for g in groups for i in g}
     points = spark.createDataFrame([(i, v[i].tolist()) for i in range(n)], "id long, v array<double>")
     links = spark.createDataFrame([(i, j) for i in range(n) for j in range(i + 1, n) if v[i] @ v[j] >= cut], "a long, b long")
-    assert dict(rows(family.average_linkage(points, links, cut))) == want
+    assert dict(rows(family.average_linkage(points, links, cut, local))) == want
 
 
 def test_similar_recall_and_families(spark):
