@@ -17,15 +17,16 @@ from seqloom.runtime import cut
 DIM = 256
 #: Random hyperplanes per table, and tables: a pair of cosine 0.7 meets in one of them with probability 0.96, one of 0.85 with 0.9999.
 PLANES, TABLES = 8, 32
-#: Sequences shorter than this are not embedded, longer ones only as far as this.
-LEAST, MOST = 50, 1000
+#: Sequences shorter than this are not embedded.
+LEAST = 50
 
 
 def profiles(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """key, v: unit vectors of signed hashed 3-letter counts, the stand-in for a language model's mean-pooled embedding.
 
-    Like that model it takes sequences from 50 letters on and reads 1000 of them; a null or
-    shorter sequence has no row.
+    Like that model it takes sequences from 50 letters on; counting has no limit of length, so
+    every sequence is read whole (the 1000 letters of a model are those of providers.embedded).
+    A null or shorter sequence has no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,7 @@ def profiles(rows: DataFrame, key: str, seq: str) -> DataFrame:
             flat = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, DIM * len(out) + 1, DIM, dtype=np.int32)), pa.array(flat))], names=[key, "v"])
 
-    kept = rows.where(F.length(seq) >= LEAST).select(F.col(key).cast("long"), F.left(F.col(seq), F.lit(MOST)).alias("s"))
+    kept = rows.where(F.length(seq) >= LEAST).select(F.col(key).cast("long"), F.col(seq).alias("s"))
     return kept.mapInArrow(run, f"{key} long, v array<double>")
 
 

@@ -109,6 +109,15 @@ def test_similar_recall_and_families(spark):
     assert [r["family_no"] for r in sorted(out, key=lambda r: r["rec"]) if r["rec"] in (84, 85)] == [1, 2]
 
 
+def test_profiles_read_whole_sequences(spark):
+    rng = random.Random(8)
+    head, *tails = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in (1000, 3000, 3000)]
+    df = spark.createDataFrame([(i, 1, head + t) for i, t in enumerate(tails)] + [(2, 1, head)], "rec long, part long, seq string")
+    v = {r["rec"]: np.array(r["v"]) for r in family.profiles(df, "rec", "seq").collect()}
+    assert max(v[a] @ v[b] for a, b in ((0, 1), (0, 2), (1, 2))) < 0.7
+    assert len({r["family_no"] for r in family.families(df).collect()}) == 3
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 8))
