@@ -1,4 +1,4 @@
-"""Families of sequences: profiles, links by random hyperplanes, average linkage, numbering."""
+"""Families of sequences: profiles, links by exact cosine, average linkage, numbering."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from seqloom.operators.graph import components
 from seqloom.runtime import cut
 
 DIM = 256
-#: Random hyperplanes per table, and tables: a pair of cosine 0.7 meets in one of them with probability 0.96, one of 0.85 with 0.9999.
-PLANES, TABLES = 8, 32
+#: Vectors of a block, of which every two of a part meet in one task, and rows of a block multiplied at a time.
+BLOCK, TILE = 2000, 500
 #: Sequences shorter than this are not embedded.
 LEAST = 50
 
@@ -44,29 +44,67 @@ def profiles(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return kept.mapInArrow(run, f"{key} long, v array<double>")
 
 
-def similar(points: DataFrame, threshold: float, seed: int = 11) -> DataFrame:
-    """a, b, sim (a < b): pairs within a part whose cosine is at least the threshold. points: id, part, v (unit vectors).
+def _compact(v: np.ndarray) -> tuple[bytes, float, float]:
+    """A vector in one byte per dimension, its step, and the length of what rounding changed."""
+    step = float(np.abs(v).max()) / 127 or 1.0
+    q = np.rint(v / step).astype(np.int8)
+    return q.tobytes(), step, float(np.sqrt(((v - q * step) ** 2).sum()))
 
-    Pairs meet in tables of random hyperplanes and are verified on the vectors; see PLANES for
-    the share that is missed. Equal vectors are one point (the smallest id) and are linked to it.
+
+def _near(threshold: float):
+    """An applyInPandas function: pairs of two blocks whose cosine may reach the threshold, judged on compact vectors.
+
+    x.y differs from the product of the rounded vectors by at most e + f + e * f for unit vectors
+    that rounding changed by e and f, so no pair at the threshold is dropped.
+    """
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+
+        def side(block: int):
+            rows = pdf[pdf["block"] == block]
+            q = np.frombuffer(b"".join(rows["q"]), np.int8).reshape(len(rows), DIM)
+            return rows["id"].to_numpy(np.int64), q * rows["step"].to_numpy(np.float32)[:, None], rows["err"].to_numpy(np.float32)
+
+        x, y = side(i), side(j)
+        found: tuple[list, list] = ([], [])
+        for at in range(0, len(x[0]), TILE):
+            ids, v, e = (c[at : at + TILE] for c in x)
+            # 1e-4 is far above what the single-precision product is off.
+            p, q = np.nonzero(v @ y[1].T + e[:, None] + y[2] + e[:, None] * y[2] >= threshold - 1e-4)
+            p, q = ids[p], y[0][q]
+            kept = p < q if i == j else p != q
+            found[0].append(np.minimum(p, q)[kept])
+            found[1].append(np.maximum(p, q)[kept])
+        return pd.DataFrame({o: np.concatenate(c) if c else np.zeros(0, np.int64) for o, c in zip("ab", found, strict=True)})
+
+    return meet
+
+
+def similar(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a, b, sim (a < b): all pairs within a part whose cosine is at least the threshold. points: id, part, v (unit vectors).
+
+    Exact: the vectors have no sparse dimensions to index, so every two blocks of a part are
+    multiplied on compact vectors, whose rounding is bounded, and what may reach the threshold is
+    verified on the vectors. Equal vectors are one point (the smallest id) and are linked to it.
     """
-    planes = np.random.default_rng(seed).standard_normal((TABLES * PLANES, DIM))
     points = points.withColumn("h", F.xxhash64("v"))
     first = points.groupBy("part", "h").agg(F.min("id").alias("rep"))
     copies = points.join(first, ["part", "h"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     reps = cut(points.join(first.select(F.col("rep").alias("id")), "id").drop("h"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            v = np.asarray(b.column(2).flatten()).reshape(n, DIM)
-            bits = ((v @ planes.T) > 0).reshape(n, TABLES, PLANES)
-            keys = (bits @ (1 << np.arange(PLANES))).astype(np.int64) * TABLES + np.arange(TABLES)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, TABLES * n + 1, TABLES, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "part", "keys"])
-
-    keyed = reps.select(F.col("id").cast("long"), F.col("part").cast("long"), "v").mapInArrow(sign, "id long, part long, keys array<long>").select("id", "part", F.explode("keys").alias("key"))
-    met = keyed.select(F.col("id").alias("a"), "part", "key").join(keyed.select(F.col("id").alias("b"), "part", "key"), ["part", "key"]).where("a < b").select("a", "b").distinct()
+            made = [_compact(v) for v in np.asarray(b.column(2).flatten(), np.float64).reshape(b.num_rows, DIM)]
+            q, step, err = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(q, pa.binary()), pa.array(step, pa.float64()), pa.array(err, pa.float64())], names=["id", "part", "q", "step", "err"])
+
+    small = reps.select(F.col("id").cast("long"), F.col("part").cast("long"), "v").mapInArrow(compact, "id long, part long, q binary, step double, err double")
+    blocks = reps.groupBy(F.col("part").cast("long").alias("part")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = small.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = other.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "q", "step", "err")
+    met = sides.groupBy("part", "i", "j").applyInPandas(_near(threshold), "a long, b long")
     va, vb = reps.select(F.col("id").alias("a"), F.col("v").alias("va")), reps.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     verified = met.join(va, "a").join(vb, "b").withColumn("sim", vectors.dot("va", "vb")).where(F.col("sim") >= threshold)
     return verified.select("a", "b", "sim").unionByName(copies)

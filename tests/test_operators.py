@@ -118,6 +118,20 @@ def test_profiles_read_whole_sequences(spark):
     assert len({r["family_no"] for r in family.families(df).collect()}) == 3
 
 
+@pytest.mark.parametrize("block", [2000, 40])
+def test_similar_finds_every_link(spark, block):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((150, family.DIM))
+    # Pairs just above and below the threshold, which a hash table would miss now and then.
+    v = np.concatenate([base, base + rng.standard_normal(base.shape) * rng.uniform(0.9, 1.1, (150, 1))])
+    v = np.concatenate([v / np.sqrt((v * v).sum(1))[:, None], np.eye(family.DIM)[:1]])
+    part = [i % 150 % 2 for i in range(300)] + [0]
+    points = spark.createDataFrame([(i, part[i], v[i].tolist()) for i in range(301)], "id long, part long, v array<double>")
+    want = {(a, b) for a in range(301) for b in range(a + 1, 301) if part[a] == part[b] and v[a] @ v[b] >= 0.7}
+    assert len(want) > 50
+    assert sorted((r["a"], r["b"]) for r in family.similar(points, 0.7, *([block] if block != 2000 else [])).collect()) == sorted(want)
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 8))
