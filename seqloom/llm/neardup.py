@@ -13,15 +13,20 @@ Pivot tables alone cannot find candidates here: the distances of unrelated 256-b
 to any reference gather around 128 +- 8, closer together than the bound of 95 that similarity
 0.5 asks for. Pairs are therefore first met on equal pairs of min-hashes (32 of them; a pair of
 similarity 0.5 shares none with probability 0.75**32 = 0.0001).
+
+That holds only if most parts are filled. Sequences with few distinct stretches share parts, so
+they take an exact path instead of 2. to 4.: two sets of similarity s have a stretch in common
+among the n - ceil(s * n) + 1 rarest of each, so they meet on those and are then verified.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.graph import components
@@ -29,14 +34,33 @@ from seqloom.runtime import cut
 
 K = 5
 PARTS = 256
-BANDS = 32
 PIVOTS = 64
-#: Bits in which a pair of similarity 0.5 differs: 64 on average, deviation 7; 95 loses one in 200,000.
-HAMMING_BOUND = 95
+#: A sequence with fewer distinct stretches is held against others by its rarest stretches, without fingerprints.
+EXACT = 300
+#: Sequences of one stretch that meet in one sub-key.
+HOT = 1000
 
 _SALT = 0x9E3779B97F4A7C15
 
 
+def bands_of(similarity: float) -> tuple[int, int]:
+    """Bands, and min-hashes in each, so that a pair of this similarity shares none with probability 0.0001; (0, 0) if the parts are too few for that."""
+    for width in (2, 1):
+        bands = max(1, round(math.log(1e-4) / math.log1p(-min(similarity, 0.99) ** width))) if similarity > 0 else PARTS + 1
+        if bands * width <= PARTS:
+            return bands, width
+    return 0, 0
+
+
+def hamming_bound(similarity: float) -> int:
+    """Bits in which a pair of this similarity may differ: the mean and 4.5 deviations (0.5: 64 and 7, so 95; loses one in 200,000)."""
+    p = (1 - similarity) / 2
+    return int(PARTS * p + 4.5 * math.sqrt(PARTS * p * (1 - p)))
+
+
+HAMMING_BOUND = hamming_bound(0.5)
+
+
 def _words_of(data: np.ndarray) -> np.ndarray:
     """The codes of all 5-letter stretches of one sequence (upper-case letters as bytes), with repetitions."""
     c = data.astype(np.int32) - 65
@@ -61,8 +85,8 @@ def _hash(code: np.ndarray) -> np.ndarray:
 _EDGES = (np.arange(PARTS, dtype=np.uint64) << np.uint64(56)).astype(np.uint64)
 
 
-def sketch(seq: bytes) -> tuple[np.ndarray, bytes] | None:
-    """The min-hash of each part, and the fingerprint. An empty part takes the min-hash of the next filled one, mixed with its own number."""
+def sketch(seq: bytes) -> tuple[np.ndarray, bytes, int] | None:
+    """The min-hash of each part, the fingerprint, and the number of distinct stretches. An empty part takes the min-hash of the next filled one, mixed with its own number."""
     data = np.frombuffer(seq, np.uint8)
     if len(data) < K:
         return None
@@ -74,24 +98,39 @@ def sketch(seq: bytes) -> tuple[np.ndarray, bytes] | None:
     own = (low >> np.uint64(56)) == np.arange(PARTS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         low = np.where(own, low, (low ^ np.arange(PARTS, dtype=np.uint64)) * np.uint64(_SALT))
-    return low, np.packbits(((low >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)).tobytes()
+    return low, np.packbits(((low >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)).tobytes(), 1 + int((h[1:] != h[:-1]).sum())
+
 
+def sketcher(bands: int, width: int):
+    """A mapInArrow function from (cls, seq) to bands, fingerprint and number of distinct stretches."""
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, prints, counts = [], [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made = sketch(s.encode())
+                if made:
+                    with np.errstate(over="ignore"):
+                        part = made[0][: width * bands].reshape(bands, width) if bands else np.zeros((0, 1), np.uint64)
+                        key = (part[:, 0] * np.uint64(31) + part[:, -1]) * np.uint64(_SALT) + np.arange(bands, dtype=np.uint64)
+                    ids.append(i)
+                    keys.append(key.view(np.int64))
+                    prints.append(made[1])
+                    counts.append(made[2])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            offsets = np.arange(len(ids) + 1, dtype=np.int32) * bands
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(prints, pa.binary()), pa.array(counts, pa.int32())], names=["cls", "bands", "print", "n"])
+
+    return make
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, seq) to cls and the codes of its distinct stretches."""
     for batch in batches:
-        ids, bands, prints = [], [], []
-        for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            made = sketch(s.encode())
-            if made:
-                with np.errstate(over="ignore"):
-                    pair = made[0][: 2 * BANDS].reshape(BANDS, 2)
-                    key = (pair[:, 0] * np.uint64(31) + pair[:, 1]) * np.uint64(_SALT) + np.arange(BANDS, dtype=np.uint64)
-                ids.append(i)
-                bands.append(key.view(np.int64))
-                prints.append(made[1])
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-        offsets = np.arange(0, BANDS * len(ids) + 1, BANDS, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(prints, pa.binary())], names=["cls", "bands", "print"])
+        made = [np.unique(_words_of(np.frombuffer(s.encode(), np.uint8))) for s in batch.column(1).to_pylist()]
+        offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
+        flat = np.concatenate(made) if made else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["cls", "codes"])
 
 
 def _bits(prints: list[bytes]) -> np.ndarray:
@@ -101,7 +140,7 @@ def _bits(prints: list[bytes]) -> np.ndarray:
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def pivot_filter(pivots: list[bytes]):
+def pivot_filter(pivots: list[bytes], bound: int = HAMMING_BOUND):
     """A mapInArrow function: keeps pairs whose pivot coordinates, and then whose fingerprints, allow the similarity."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +160,8 @@ def pivot_filter(pivots: list[bytes]):
             at = np.array([known[p] for p in both])
             a, b = at[: batch.num_rows], at[batch.num_rows :]
             distances = table_of(prints)
-            near = np.abs(distances[a] - distances[b]).max(1) <= HAMMING_BOUND
-            near[near] = _ONES[prints[a[near]] ^ prints[b[near]]].sum(1, dtype=np.int16) <= HAMMING_BOUND
+            near = np.abs(distances[a] - distances[b]).max(1) <= bound
+            near[near] = _ONES[prints[a[near]] ^ prints[b[near]]].sum(1, dtype=np.int16) <= bound
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
 
     return keep
@@ -176,20 +215,47 @@ class NearDuplicates:
         self.members = members
         self.texts = rows.join(members.where("rec_id = cls").select("rec_id"), "rec_id").select(F.col("rec_id").alias("cls"), "seq")
 
+    def rare_meetings(self, sizes: DataFrame, most: int, least: int = EXACT) -> DataFrame:
+        """a, b: classes, one of them with fewer than `least` stretches, that can be alike. sizes: cls, n; most: the largest n below `least`.
+
+        Exact: alike classes share one of their rarest stretches. Hot stretches are dealt to sub-keys.
+        """
+        # A class alike to one of `most` stretches has at most most / similarity.
+        able = sizes.where(F.col("n") * self.similarity <= most + 1e-6)
+        codes = self.texts.join(able.select("cls"), "cls", "left_semi").select("cls", "seq").mapInArrow(_stretches, "cls long, codes array<int>")
+        each = cut(codes.join(able, "cls").select("cls", "n", F.explode("codes").alias("code")))
+        frequent = each.groupBy("code").agg(F.count("*").alias("f"))
+        place = F.row_number().over(Window.partitionBy("cls").orderBy("f", "code"))
+        prefix = F.col("n") - F.ceil(F.col("n") * self.similarity - 1e-6) + 1
+        # A stretch of one class only keeps its place but meets nothing.
+        rare = each.join(frequent, "code").withColumn("place", place).where(F.col("place") <= prefix).where("f > 1")
+        rare = cut(rare.select("cls", "n", "code", F.ceil(F.col("f") / HOT).cast("int").alias("salts")))
+        left = rare.select(F.col("cls").alias("a"), F.col("n").alias("na"), "code", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
+        right = rare.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "code", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        near = (F.least("na", "nb") < least) & (F.least("na", "nb") >= F.greatest("na", "nb") * self.similarity - 1e-6)
+        return left.join(right, ["code", "salt"]).where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
+
     def links(self) -> DataFrame:
         """a, b, similarity: alike classes, a < b, each pair once."""
-        sketches = cut(self.texts.where(f"length(seq) >= {K}").mapInArrow(_sketches, "cls long, bands array<long>, print binary"))
-        pivots = [bytes(r[0]) for r in sketches.orderBy(F.xxhash64("cls")).limit(PIVOTS).select("print").collect()]
-        banded = sketches.select("cls", F.explode("bands").alias("band"))
+        bands, width = bands_of(self.similarity)
+        sketches = cut(self.texts.where(f"length(seq) >= {K}").mapInArrow(sketcher(bands, width), "cls long, bands array<long>, print binary, n int"))
+        # Without enough bands every sequence takes the exact path.
+        least = EXACT if bands else 2**31 - 1
+        few = sketches.where(F.col("n") < least).agg(F.max("n")).first()[0]
+        filled = sketches.where(F.col("n") >= least)
+        pivots = [bytes(r[0]) for r in filled.orderBy(F.xxhash64("cls")).limit(PIVOTS).select("print").collect()]
+        banded = filled.select("cls", F.explode("bands").alias("band"))
         left, right = banded.select(F.col("cls").alias("a"), "band"), banded.select(F.col("cls").alias("b"), "band")
         met = left.join(right, "band").where("a < b").select("a", "b").distinct()
-        prints = sketches.select("cls", "print")
+        prints = filled.select("cls", "print")
         near = (
             met.join(prints.select(F.col("cls").alias("a"), F.col("print").alias("pa")), "a")
             .join(prints.select(F.col("cls").alias("b"), F.col("print").alias("pb")), "b")
             .select("a", "b", "pa", "pb")
-            .mapInArrow(pivot_filter(pivots), "a long, b long")
+            .mapInArrow(pivot_filter(pivots, hamming_bound(self.similarity)), "a long, b long")
         )
+        if few is not None:
+            near = near.unionByName(self.rare_meetings(sketches.select("cls", "n"), few, least))
         return (
             near.join(self.texts.select(F.col("cls").alias("a"), F.col("seq").alias("sa")), "a")
             .join(self.texts.select(F.col("cls").alias("b"), F.col("seq").alias("sb")), "b")

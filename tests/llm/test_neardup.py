@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from seqloom.llm import neardup
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
@@ -80,6 +82,34 @@ def test_pairs_and_groups(spark):
     assert all(groups[i]["group_id"] == root(i) for i in groups)
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.05])
+def test_short_sequences_lose_no_pair(spark, similarity):
+    rng = random.Random(3)
+    texts = ["A" * 40, "A" * 41, "AC" * 30, "CA" * 31]
+    for n in [6, 8, 10, 14, 20, 30, 50, 90, 200, 290, 310, 420] * 2:
+        base = "".join(rng.choice(LETTERS) for _ in range(n))
+        texts += [base] + [edit(rng, base, rng.choice([1, 1, 2, 3])) for _ in range(6)] + [base + "".join(rng.choice(LETTERS) for _ in range(n - 5))]
+    w = {i: words(s)[1] for i, s in enumerate(texts)}
+    want = {(i, j) for i, j in combinations(w, 2) if texts[i] == texts[j] or len(w[i] & w[j]) >= similarity * len(w[i] | w[j])}
+    df = spark.createDataFrame([(i, s, 0, 0, 0) for i, s in enumerate(texts)], SCHEMA)
+    got = [tuple(r) for r in neardup.NearDuplicates(df, similarity).pairs().collect()]
+    assert len(want) > 200 and sorted(got) == sorted(want)
+
+
+def test_hot_stretches_meet_in_every_sub_key(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    texts = ["ACDEFGH" + a + b for a in "IKLMN" for b in "PQRS"]
+    df = spark.createDataFrame([(i, s, 0, 0, 0) for i, s in enumerate(texts)], SCHEMA)
+    w = [words(s)[1] for s in texts]
+    want = {(i, j) for i, j in combinations(range(len(w)), 2) if len(w[i] & w[j]) >= 0.4 * len(w[i] | w[j])}
+    assert want and {tuple(r) for r in neardup.NearDuplicates(df, 0.4).pairs().collect()} == want
+
+
+def test_bands_and_bound_follow_similarity():
+    assert neardup.bands_of(0.5) == (32, 2) and neardup.HAMMING_BOUND == 95
+    assert neardup.bands_of(0.3)[0] > 32 and neardup.hamming_bound(0.3) > 95 and neardup.bands_of(0.01) == (0, 0)
+
+
 def test_fingerprints_follow_similarity():
     rng = random.Random(9)
     base = "".join(rng.choice(LETTERS) for _ in range(900))
