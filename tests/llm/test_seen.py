@@ -1,12 +1,15 @@
 """Golomb-coded sets: exact round trip, answers against a plain scan, audited errors."""
 
+import os
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.llm import seen
+from seqloom.llm import queries, seen
+from tests.conftest import SMALL
 
 SCHEMA, KNOWN = "visit_no long, key string, at long, gen int, h long", "key string, shard long"
 
@@ -83,3 +86,12 @@ def test_empty(spark):
     one = spark.createDataFrame([(5, "A", 0, 0, 0)], SCHEMA)
     assert seen.SeenKeys(one, "visit_no", "key", some.limit(0), "key").found().count() == 0
     assert seen.SeenKeys(one, "visit_no", "key", some, "key").found().count() == 1
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
+def test_audit_covers_the_delivered_setting(spark):
+    out = queries.p1_audit(spark, SMALL).collect()
+    assert {r["fp_bits"] for r in out} == {30, 8}
+    assert all(r["n_missed"] == 0 for r in out)
+    assert sum(r["n_false_seen"] for r in out if r["fp_bits"] == 30) == 0
+    assert max(r["theoretical_rate"] for r in out if r["fp_bits"] == 30) < 1e-6
