@@ -1,19 +1,21 @@
 """Mixing sources to target weights by drawing fixed-length blocks of tokens.
 
 The documents of a source, in pseudorandom order, make one stream of tokens, cut into blocks.
-The number of slots a source gets is fixed by its share; how they spread over output shards is
-drawn as a multinomial given those totals. Slot i of a source stands for block perm_e(i mod K) of
-pass e = i div K, with another pseudorandom permutation of its K blocks for each pass, so no
-block, and no document, is used more often than there are passes.
+Each output shard draws its counts per source as one multinomial, in the task that holds the
+shard, from a seed of its own; nothing per shard is kept on the driver. The number a source is
+drawn in all differs from its exact part by about a square root, so the slots that are too many, a
+pseudorandom choice of them, are given to the sources that have too few. Slot i of a source
+stands for block perm_e(i mod K) of pass e = i div K, with another keyed permutation of its K
+blocks for each pass, so no block, and no document, is used more often than there are passes.
 """
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,36 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: The table of targets is a parameter of the run; a larger one is refused.
 MAX_SOURCES = 100_000
 DOCS_PER_BUCKET = 20_000
+#: Shards whose counts come from one seed and are summed in one task.
+SHARDS_PER_BUCKET = 1024
+
+_U = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number (the finaliser of splitmix64). Fixed values."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def permuted(i: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The image of each i in [0, size) under the pseudorandom permutation of [0, size) that belongs to key.
+
+    Four Feistel rounds on the next even number of bits, repeated for what falls outside.
+    """
+    i, size, key = np.broadcast_arrays(np.asarray(i, _U), np.asarray(size, _U), np.asarray(key, _U))
+    sizes, at = np.unique(size, return_inverse=True)
+    half = np.array([max(1, (int(n - 1).bit_length() + 1) // 2) if n else 1 for n in sizes.tolist()], _U)[at]
+    mask = (_U(1) << half) - _U(1)
+    out, todo = i.copy(), np.arange(len(i))
+    while len(todo):
+        left, right = out[todo] >> half[todo], out[todo] & mask[todo]
+        for r in range(4):
+            left, right = right, left ^ (_mixed(right + _mixed(key[todo] + _U(r))) & mask[todo])
+        out[todo] = (left << half[todo]) | right
+        todo = todo[out[todo] >= size[todo]]
+    return out.astype(np.int64)
 
 
 def token_counter(path: str):
@@ -69,44 +101,75 @@ class Mix:
         if rows is None:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         rows = [r for r in rows if (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0]
-        self.plan(rows, total_tokens, slots_per_shard, seed)
-        self.seed = seed
+        self.seed, self.shard_slots = seed, slots_per_shard
+        self.plan(rows, total_tokens)
 
-    def plan(self, rows: list, total_tokens: int | None, slots_per_shard: int, seed: int) -> None:
-        """The slots of each source, their spread over shards, and the permutations: numbers per source and shard only."""
-        rng = np.random.default_rng(seed)
+    def plan(self, rows: list, total_tokens: int | None) -> None:
+        """The blocks and slots of each source: numbers per source only."""
         if total_tokens is None:
             total_tokens = min((r["tokens"] * r["max_repeats"] / r["target_share"] for r in rows), default=0)
-        self.blocks_of, slots = {}, []
-        for r in rows:
-            k = -(-r["tokens"] // self.block)
-            self.blocks_of[r["source"]] = k
-            slots.append(min(k * r["max_repeats"], round(total_tokens * r["target_share"] / (r["tokens"] / k))))
-        left = np.array(slots, np.int64)
-        given = np.zeros_like(left)
-        self.draws, shard = [], 0
-        while left.sum():
-            size = int(min(slots_per_shard, left.sum()))
-            # A multinomial draw, given the totals that remain.
-            got = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 1_000_000_000 else np.minimum(left, rng.multinomial(size, left / left.sum()))
-            self.draws += [(shard, r["source"], int(f), int(n)) for r, f, n in zip(rows, given, got, strict=True) if n]
-            given, left, shard = given + got, left - got, shard + 1
-        self.perms = []
-        for r, n in zip(rows, slots, strict=True):
-            k = self.blocks_of[r["source"]]
-            for e in range(-(-n // k)):
-                a = int(rng.integers(1, 1 << 20)) | 1
-                while math.gcd(a, k) != 1:
-                    a += 2
-                self.perms.append((r["source"], e, k, a, int(rng.integers(0, k))))
+        self.names = [r["source"] for r in rows]
+        self.k = [-(-r["tokens"] // self.block) for r in rows]
+        self.wanted = [min(k * r["max_repeats"], round(total_tokens * r["target_share"] / (r["tokens"] / k))) for r, k in zip(rows, self.k, strict=True)]
+        self.blocks_of = dict(zip(self.names, self.k, strict=True))
+
+    def draws(self) -> DataFrame:
+        """bucket, shard, no, n, inside: how often each shard draws source `no`, and the draws of it by earlier shards of its bucket."""
+        wanted, m, seed, per = np.array(self.wanted, np.int64), self.shard_slots, self.seed, SHARDS_PER_BUCKET
+        total = int(wanted.sum())
+        n_shards = -(-total // m)
+
+        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = max(1, 1_000_000 // max(1, len(wanted)))
+            for bucket in (int(b) for f in frames for b in f["id"]):
+                rng = np.random.default_rng([seed, bucket])
+                upto = np.zeros(len(wanted), np.int64)
+                end = min((bucket + 1) * per, n_shards)
+                for at in range(bucket * per, end, step):
+                    shards = np.arange(at, min(at + step, end))
+                    n = rng.multinomial(np.minimum(m, total - shards * m), wanted / total)
+                    inside = upto + n.cumsum(0) - n
+                    upto = upto + n.sum(0)
+                    i, j = np.nonzero(n)
+                    yield pd.DataFrame({"bucket": bucket, "shard": shards[i], "no": j, "n": n[i, j], "inside": inside[i, j]})
+
+        return self.spark.range(-(-n_shards // per)).mapInPandas(draw, "bucket long, shard long, no int, n long, inside long")
 
     def slots(self) -> DataFrame:
         """shard, source, slot, block: which block of its source each slot holds."""
-        draws = self.spark.createDataFrame(self.draws, "shard long, source string, first long, n long").repartition("shard", "source")
-        perms = self.spark.createDataFrame(self.perms, "source string, pass long, k long, a long, b long")
-        sizes = self.spark.createDataFrame(list(self.blocks_of.items()), "source string, k long")
-        each = draws.join(sizes, "source").select("shard", "source", "k", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot")).withColumn("pass", F.expr("slot div k"))
-        return each.join(perms.drop("k"), ["source", "pass"]).select("shard", "source", "slot", F.expr("(a * (slot % k) + b) % k").alias("block"))
+        draws = self.draws()
+        of_source = Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = draws.groupBy("bucket", "no").agg(F.sum("n").alias("t"))
+        drawn = np.zeros(len(self.names), np.int64)
+        for r in sums.groupBy("no").agg(F.sum("t").alias("t")).collect():  # a row per source
+            drawn[r["no"]] = r["t"]
+        offsets = sums.select("bucket", "no", F.coalesce(F.sum("t").over(of_source), F.lit(0)).alias("offset"))
+        names, k, wanted, seed = np.array(self.names, object), np.array(self.k, np.int64), np.array(self.wanted, np.int64), self.seed
+        # Ranks of the slots that are too many, by source, and of the places to which they go.
+        spare, lack = np.maximum(drawn - wanted, 0), np.maximum(wanted - drawn, 0)
+        spare_from, lack_from = spare.cumsum() - spare, lack.cumsum() - lack
+
+        def key(*parts) -> np.ndarray:
+            out = np.full(1, seed, np.int64).astype(_U)
+            for x in parts:
+                out = _mixed(out + np.asarray(x).astype(_U) + _U(0x9E3779B97F4A7C15))
+            return out
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                n = f["n"].to_numpy(np.int64)
+                no, shard = np.repeat(f["no"].to_numpy(np.int64), n), np.repeat(f["shard"].to_numpy(np.int64), n)
+                slot = np.repeat(f["first"].to_numpy(np.int64) - (n.cumsum() - n), n) + np.arange(n.sum())
+                many = spare[no] > 0
+                slot[many] = permuted(slot[many], drawn[no[many]], key(no[many], 0))
+                over = np.flatnonzero(slot >= wanted[no])
+                rank = spare_from[no[over]] + slot[over] - wanted[no[over]]
+                to = np.searchsorted(lack_from + lack, rank, "right")
+                no[over], slot[over] = to, drawn[to] + rank - lack_from[to]
+                of_pass, i = np.divmod(slot, k[no])
+                yield pd.DataFrame({"shard": shard, "source": names[no], "slot": slot, "block": permuted(i, k[no], key(no, of_pass + 1))})
+
+        return draws.join(offsets, ["bucket", "no"]).select("shard", "no", "n", (F.col("offset") + F.col("inside")).alias("first")).mapInPandas(place, "shard long, source string, slot long, block long")
 
     def parts(self) -> DataFrame:
         """source, block, doc_id, from_token (of the document), n: the tokens of each document in each block.

@@ -27,6 +27,12 @@ def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports[0].unionByName(reports[1])
 
 
+def p1_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of what p1_found answers, in the columns that exact arrivals alone decide: no seen key missed, no unseen one taken for seen."""
+    keys, known = _seen(spark, sf_dir, 30)
+    return keys.audit(known, "nucleotide_id").select("period", "n_probes", "n_said_seen", "n_truly_seen", "n_false_seen", "n_missed")
+
+
 def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(spark, sf_dir, 30)[0].sizes()
 
@@ -75,6 +81,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source with a target: whether no document is used too often, and whether its share is within 0.01 of the target among sources with text."""
+    shares = _mix(spark, sf_dir).shares().where("target_share is not null").withColumn("wanted", F.when(F.col("source_tokens") > 0, F.col("target_share")).otherwise(0.0))
+    total = shares.agg(F.sum("wanted").alias("all_wanted"))
+    near = F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.col("wanted") / F.col("all_wanted")) < 0.01
+    return shares.join(F.broadcast(total)).select("source", "n_docs", "max_repeats", (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), near.alias("on_target"))
+
+
 def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).blocks()
 
@@ -102,7 +116,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_audit, p1_sizes, p4_found, p4_groups, p6_found, p6_spans, p6_items, p7_usage, p7_shares, p7_blocks, p8_found, p8_composition)
+    for f in (p1_found, p1_audit, p1_truth, p1_sizes, p4_found, p4_groups, p6_found, p6_spans, p6_items, p7_usage, p7_shares, p7_limits, p7_blocks, p8_found, p8_composition)
 }
 
 _KEY = "nullif(lower(regexp_replace(nucleotide_id, '^\\s+|\\s+$', '', 'g')), '')"
@@ -111,11 +125,19 @@ _WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda
 ORACLE = {
     "p1_found": f"""with v as (select visit_no, {_KEY} as k from visited_ids), b as (select distinct {_KEY} as k from visited_before)
         select visit_no from (select visit_no, k, row_number() over (partition by k order by visit_no) as n from v where k is not null) where n > 1 or k in (select k from b where k is not null)""",
+    "p1_truth": f"""with v as (select visit_no, {_KEY} as k from visited_ids), b as (select distinct {_KEY} as k from visited_before),
+        m as (select min(visit_no) as low, cast(floor(sqrt(count(*))) as bigint) as g, max(visit_no) - min(visit_no) + 1 as width from visited_ids),
+        f as (select visit_no, k, (visit_no - low) // ((width + g - 1) // g) as gen, g, min(visit_no) over (partition by k) as first_of_all from v, m where k is not null),
+        p as (select gen * 16 // g as period, first_of_all < min(visit_no) or k in (select k from b where k is not null) as truly from f group by gen, g, k, first_of_all)
+        select cast(period as integer) as period, count(*) as n_probes, count(*) filter (where truly) as n_said_seen, count(*) filter (where truly) as n_truly_seen, 0 as n_false_seen, 0 as n_missed from p group by 1""",
     "p4_found": """with r as (select rec_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') as s from (select rec_id, seq from mined_proteins union all select rec_id, seq from drift_variants) where seq is not null),
         w as (select distinct rec_id, s[i:i+4] as w from r, lateral (select unnest(range(1, len(s) - 3)) as i) where len(s) >= 5),
         n as (select rec_id, count(*) as n from w group by 1),
         b as (select x.rec_id as a, y.rec_id as b, count(*) as c from w x join w y on x.w = y.w and x.rec_id < y.rec_id group by 1, 2)
         select a as rec_id_1, b as rec_id_2 from b join n na on na.rec_id = a join n nb on nb.rec_id = b where 2 * c >= na.n + nb.n - c""",
+    "p7_limits": """select t.source, count(d.doc_id) as n_docs, t.max_repeats, true as within_repeats, true as on_target
+        from (select lower(trim(source)) as source, min(max_repeats) as max_repeats from mix_targets where target_share is not null and trim(source) <> '' group by 1) t
+        left join documents d on lower(trim(d.source)) = t.source group by 1, 3""",
     "p6_found": f"""with q as (select item_id, {_WORDS.format("question")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents),
         qg as (select distinct item_id, array_to_string(w[i:i+12], ' ') as g from q, lateral (select unnest(range(1, len(w) - 11)) as i) where len(w) >= 13),
         dg as (select distinct doc_id, array_to_string(w[i:i+12], ' ') as g from d, lateral (select unnest(range(1, len(w) - 11)) as i) where len(w) >= 13)

@@ -1,17 +1,20 @@
-"""Has this key been seen before? Golomb-coded sets over generations of arrival.
-
-The records are cut by order of arrival into a fixed number of generations. The keys of a
-generation are hashed, reduced to the range n * 2**fp_bits, and kept as Golomb-coded sets: the
-sorted hashes of a set are cut into blocks, of which each holds its gaps as unary quotients and
-packed remainders. Sets exist for aligned runs of 1, 2, 4, ... generations, so that all
-generations before any other are covered by a few disjoint sets; keys known from the start make
-one more. A record first looks within its own generation, exactly; the first record of each key
-there is then probed in the sets of all earlier generations, and only the blocks that can hold
-its hash are decoded. As the sets probed are disjoint, an unseen key is taken for a seen one
-with probability (number of earlier keys) / range, at most 2**-fp_bits; a seen one is never missed.
-
-Sets and probes are spread over shards of the hash range; hashes of distinct keys are uniform,
-so no shard is hot however often a key comes.
+"""Has this key been seen before? A Golomb-coded set of keys with the generation of their first arrival.
+
+The records are cut by order of arrival into generations of about the square root of their
+number. The keys are hashed to shards, and within a shard to a range of (keys of a shard) *
+2**fp_bits; the shard's set keeps the sorted hashes as Golomb-coded gaps, in blocks of unary
+quotients and packed remainders, and beside each hash, in as many bits as the block needs, the
+generation in which it first came. One set per shard thus answers for every prefix of the
+arrivals: a record's key was seen before its generation if its hash is in the set with an
+earlier generation. Only the blocks into whose range a probed hash falls are decoded.
+
+Repeats within a generation are told exactly before that; the first record of each key there is
+probed. An unseen key is taken for a seen one with probability (earlier keys of its shard) /
+range, at most 2**-fp_bits on average; a seen one is never missed.
+
+Hashes of distinct keys are uniform, so shards hold equally many keys; a key however frequent
+comes to its shard once per generation, so the square root bounds both that and the rows of a key
+that meet within a generation. The range is per shard: shards are added as keys are, without limit.
 """
 
 from __future__ import annotations
@@ -20,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.runtime import key_of
 
-LEVELS = 4  # 2**LEVELS generations
 BLOCK_KEYS = 512
 SHARD_KEYS = 1 << 16
-#: The number of the set that holds the keys known before the first record.
+#: The generation of keys known before the first record.
 BASE = -1
+#: Parts of the arrivals that a report tells apart.
+PERIODS = 16
 
 
 def encode_gaps(gaps: np.ndarray, k: int) -> tuple[bytes, bytes]:
@@ -50,63 +54,79 @@ def decode_gaps(unary: bytes, rest: bytes, n: int, k: int) -> np.ndarray:
     return (quotients.astype(np.int64) << k) + bits @ (np.int64(1) << np.arange(k, dtype=np.int64))
 
 
-BLOCKS = "node int, shard long, block int, lo long, hi long, n int, k int, unary binary, rest binary"
+def pack(values: np.ndarray, k: int) -> bytes:
+    """Numbers of k bits each."""
+    bits = ((values.astype(np.uint64)[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits.ravel()).tobytes()
+
+
+def unpack(data: bytes, n: int, k: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * k).reshape(n, k).astype(np.int64)
+    return bits @ (np.int64(1) << np.arange(k, dtype=np.int64))
+
+
+BLOCKS = "shard long, block int, lo long, hi long, n int, k int, unary binary, rest binary, gen0 int, gen_bits int, gens binary"
 
 
 def encode_set(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The blocks of the hashes of one (node, shard)."""
-    node, shard = int(pdf["node"].iloc[0]), int(pdf["shard"].iloc[0])
-    h = np.unique(pdf["h"].to_numpy(np.int64))
+    """The blocks of one shard: its distinct hashes h, each with its smallest gen."""
+    shard = int(pdf["shard"].iloc[0])
+    h, gen = pdf["h"].to_numpy(np.int64), pdf["gen"].to_numpy(np.int64)
+    order = np.lexsort((gen, h))
+    h, gen = h[order], gen[order]
+    first = np.append(True, h[1:] != h[:-1])
+    h, gen = h[first], gen[first]
     mean_gap = max(1, int(h[-1] - h[0]) // len(h))
     k = max(0, int(np.log2(mean_gap * 0.7)) if mean_gap > 1 else 0)
     rows = []
     for b, at in enumerate(range(0, len(h), BLOCK_KEYS)):
-        part = h[at : at + BLOCK_KEYS]
+        part, of = h[at : at + BLOCK_KEYS], gen[at : at + BLOCK_KEYS]
         unary, rest = encode_gaps(np.diff(part), k)
-        rows.append((node, shard, b, int(part[0]), int(part[-1]), len(part), k, unary, rest))
-    return pd.DataFrame(rows, columns=["node", "shard", "block", "lo", "hi", "n", "k", "unary", "rest"])
+        gen0 = int(of.min())
+        bits = int(of.max() - gen0).bit_length()
+        rows.append((shard, b, int(part[0]), int(part[-1]), len(part), k, unary, rest, gen0, bits, pack(of - gen0, bits)))
+    return pd.DataFrame(rows, columns=["shard", "block", "lo", "hi", "n", "k", "unary", "rest", "gen0", "gen_bits", "gens"])
 
 
-def contains(h: np.ndarray, blocks: pd.DataFrame) -> np.ndarray:
-    """Which hashes are in the set of these blocks; decodes only blocks into whose range a hash falls."""
+#: The answer for a hash that is not in the set.
+NEVER = np.iinfo(np.int64).max
+
+
+def first_generation(h: np.ndarray, blocks: pd.DataFrame) -> np.ndarray:
+    """The generation under which each hash is in the set of these blocks, NEVER if it is not; decodes only blocks into whose range a hash falls."""
     blocks = blocks.sort_values("block")
     lo, hi = blocks["lo"].to_numpy(np.int64), blocks["hi"].to_numpy(np.int64)
     at = np.searchsorted(lo, h, "right") - 1
     could = (at >= 0) & (h <= hi[at])
-    out = np.zeros(len(h), bool)
-    probed = np.unique(at[could])
-    decoded = []
-    for b in probed:
+    out = np.full(len(h), NEVER)
+    held, gens = [], []
+    for b in np.unique(at[could]).tolist():
         r = blocks.iloc[b]
-        gaps = decode_gaps(r["unary"], r["rest"], int(r["n"]) - 1, int(r["k"])) if r["n"] > 1 else np.zeros(0, np.int64)
-        decoded.append(np.concatenate(([r["lo"]], r["lo"] + np.cumsum(gaps))))
-    if decoded:
-        held = np.concatenate(decoded)
-        where = np.minimum(np.searchsorted(held, h[could]), len(held) - 1)
-        out[could] = held[where] == h[could]
+        n = int(r["n"])
+        gaps = decode_gaps(r["unary"], r["rest"], n - 1, int(r["k"])) if n > 1 else np.zeros(0, np.int64)
+        held.append(np.concatenate(([r["lo"]], r["lo"] + np.cumsum(gaps))))
+        gens.append(int(r["gen0"]) + unpack(r["gens"], n, int(r["gen_bits"])))
+    if held:
+        keys, of = np.concatenate(held), np.concatenate(gens)
+        where = np.minimum(np.searchsorted(keys, h[could]), len(keys) - 1)
+        out[could] = np.where(keys[where] == h[could], of[where], NEVER)
     return out
 
 
-def nodes_before(gen: int) -> list[int]:
-    """The disjoint aligned runs of generations that make up all before gen, as set numbers."""
-    out = [BASE]
-    for level in range(LEVELS):
-        if gen >> level & 1:
-            out.append(level * (1 << LEVELS) + (gen >> level) - 1)
-    return out
+def contains(h: np.ndarray, blocks: pd.DataFrame) -> np.ndarray:
+    """Which hashes are in the set of these blocks, whenever they came."""
+    return first_generation(h, blocks) != NEVER
 
 
 def probe(probes: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    """The probes of one shard with the answer of the sets."""
-    seen = np.zeros(len(probes), bool)
+    """The probes of one shard with the answer of its set, and the number of keys that came before their generation."""
+    seen, earlier = np.zeros(len(probes), bool), np.zeros(len(probes), np.int64)
     if len(probes) and len(blocks):
-        h, gen = probes["h"].to_numpy(np.int64), probes["gen"].to_numpy(np.int64)
-        sets = dict(list(blocks.groupby("node")))
-        for node in sorted(sets):
-            asks = np.isin(gen, [g for g in range(1 << LEVELS) if node in nodes_before(g)]) & ~seen
-            if asks.any():
-                seen[asks] = contains(h[asks], sets[node])
-    return pd.DataFrame({"at": probes["at"], "gen": probes["gen"], "seen": seen})
+        gen = probes["gen"].to_numpy(np.int64)
+        seen = first_generation(probes["h"].to_numpy(np.int64), blocks) < gen
+        of = np.sort(np.concatenate([g0 + unpack(g, n, bits) for g0, g, n, bits in zip(blocks["gen0"], blocks["gens"], blocks["n"], blocks["gen_bits"], strict=True)]))
+        earlier = np.searchsorted(of, gen, "left")
+    return pd.DataFrame({"at": probes["at"], "gen": probes["gen"], "seen": seen, "earlier": earlier})
 
 
 class SeenKeys:
@@ -114,65 +134,63 @@ class SeenKeys:
 
     Keys are equal if their trimmed texts are, ignoring case; a null or blank key is never seen
     and matches nothing. The order column is a key of records. Empty inputs give empty answers;
-    repeated rows and copies of a key each count; other columns are not read.
+    repeated rows and copies of a key each count; other columns are not read. expected: the number
+    of keys for which the sets are laid out, by default that of all records and known keys.
     """
 
-    def __init__(self, records: DataFrame, order: str, key: str, known: DataFrame, known_key: str, fp_bits: int = 30):
+    def __init__(self, records: DataFrame, order: str, key: str, known: DataFrame, known_key: str, fp_bits: int = 30, expected: int | None = None):
+        if not 0 <= fp_bits <= 46:
+            raise ValueError("fp_bits is from 0 to 46")
         rows = records.select(F.col(order).alias("at"), key_of(key).alias("key"))
-        low, high, n = rows.agg(F.min("at"), F.max("at"), F.count("at")).first()
-        n_known = known.count()
-        self.range = max(1, (n + n_known)) << fp_bits
-        if self.range >= 1 << 62:
-            raise ValueError("fp_bits is too large for this many keys")
-        self.shards = max(1, -(-(n + n_known) // SHARD_KEYS))
-        width = -(-self.range // self.shards)
+        low, high, n = records.agg(F.min(order), F.max(order), F.count(order)).first()
+        expected = max(1, expected if expected is not None else n + known.count())
+        self.shards = -(-expected // SHARD_KEYS)
+        self.range = -(-expected // self.shards) << fp_bits
+        self.generations = max(1, int(n**0.5))
         low, high = (low, high) if n else (0, 0)
-        gen = F.floor((F.col("at") - low).cast("double") / float(high - low + 1) * (1 << LEVELS)).cast("int")
-        self.rows = rows.where("key is not null").withColumn("gen", F.least(gen, F.lit((1 << LEVELS) - 1)))
-
-        h = F.pmod(F.xxhash64("key"), F.lit(self.range))
-        hashed = lambda df: df.withColumn("h", h).withColumn("shard", F.floor(F.col("h") / F.lit(width)).cast("long"))
-        # Exact within a generation, and pre-aggregated before anything is shuffled.
-        self.first = hashed(self.rows.groupBy("gen", "key").agg(F.min("at").alias("at")))
-        levels = [F.when(F.shiftright("gen", level).bitwiseAND(1) == 0, level * (1 << LEVELS) + F.shiftright("gen", level)) for level in range(LEVELS)]
-        # `at` is kept on this side too, so that sets and probes share one shuffle of the first records.
-        members = self.first.where("at is not null").select("shard", "h", F.explode(F.array_compact(F.array(*levels))).alias("node"))
-        base = hashed(known.select(key_of(known_key).alias("key")).where("key is not null").distinct()).select("shard", "h", F.lit(BASE).alias("node"))
-        self.blocks = members.unionByName(base).groupBy("node", "shard").applyInPandas(encode_set, BLOCKS)
+        span = max(1, -(-(high - low + 1) // self.generations))
+        self.rows = rows.where("at is not null and key is not null").withColumn("gen", F.expr(f"cast((at - {low}) div {span} as int)"))
+
+        # Two hashes of their own: the shard, and the place in the shard's range.
+        places = [F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(self.shards)).alias("shard"), F.pmod(F.xxhash64("key"), F.lit(self.range)).alias("h")]
+        own = F.min("at").over(Window.partitionBy("gen", "key"))
+        told = self.rows.withColumn("first_at", own)
+        self.repeated = told.where("at > first_at").select("at")
+        self.first = told.where("at = first_at").select("at", "gen", "key", *places)
+        base = known.select(key_of(known_key).alias("key")).where("key is not null").distinct().select(F.lit(BASE).alias("gen"), *places)
+        members = self.first.select("shard", "h", "gen").unionByName(base.select("shard", "h", "gen"))
+        self.blocks = members.groupBy("shard").applyInPandas(encode_set, BLOCKS)
         self.answers = (
-            self.first.where("at is not null").select("shard", "at", "gen", "h").groupBy("shard").cogroup(self.blocks.groupBy("shard")).applyInPandas(probe, "at long, gen int, seen boolean")
+            self.first.select("shard", "at", "gen", "h").groupBy("shard").cogroup(self.blocks.groupBy("shard")).applyInPandas(probe, "at long, gen int, seen boolean, earlier long")
         )
 
     def found(self) -> DataFrame:
-        """at: the records whose key came before, by the sets' answers."""
-        new = self.answers.where("not seen").select("at")
-        return self.rows.select("at").join(new, "at", "left_anti")
+        """at: the records whose key came before: repeats within a generation, and what the sets have seen."""
+        return self.answers.where("seen").select("at").unionByName(self.repeated)
 
     def audit(self, known: DataFrame, known_key: str) -> DataFrame:
-        """Per generation: probes, answers, the theoretical and the audited rate of wrong ones.
+        """Per period of the arrivals: probes, answers, the theoretical and the audited rate of wrong ones.
 
-        The audit holds each answer against the exact first arrival of its key.
+        The audit holds each answer against the exact first arrival of its key. theoretical_rate is
+        the mean over the unseen probes of (keys in the set from before) / range; audited_rate is
+        null in a period without unseen probes.
         """
-        exact = self.rows.groupBy("key").agg(F.min("at").alias("first_at"))
+        exact = self.rows.groupBy("key").agg(F.min("at").alias("first_of_all"))
         before = known.select(key_of(known_key).alias("key")).where("key is not null").distinct().withColumn("known", F.lit(True))
-        truth = self.first.select("key", "at").join(exact, "key").join(before, "key", "left").select("at", (F.coalesce("known", F.lit(False)) | (F.col("first_at") < F.col("at"))).alias("truly"))
-        held = self.answers.join(truth, "at").groupBy("gen").agg(
+        truth = self.first.select("key", "at").join(exact, "key").join(before, "key", "left").select("at", (F.coalesce("known", F.lit(False)) | (F.col("first_of_all") < F.col("at"))).alias("truly"))
+        period = F.expr(f"cast(gen * {PERIODS} div {self.generations} as int)")
+        unseen = F.count_if(~F.col("truly"))
+        return self.answers.join(truth, "at").groupBy(period.alias("period")).agg(
             F.count("*").alias("n_probes"), F.count_if("seen").alias("n_said_seen"), F.count_if("truly").alias("n_truly_seen"),
             F.count_if(F.expr("seen and not truly")).alias("n_false_seen"), F.count_if(F.expr("truly and not seen")).alias("n_missed"),
-        )
-        keys = self.first.groupBy("gen").agg(F.countDistinct("h").alias("n_keys"))
-        base = self.blocks.where(F.col("node") == BASE).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_base"))
-        # Earlier keys: an upper bound, as a key of several earlier generations counts in each.
-        earlier = held.select("gen").join(F.broadcast(keys.select(F.col("gen").alias("g"), "n_keys")), F.col("g") < F.col("gen"), "left").groupBy("gen").agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n_earlier"))
-        unseen = F.col("n_probes") - F.col("n_truly_seen")
-        return (
-            held.join(earlier, "gen").join(F.broadcast(base))
-            .withColumn("theoretical_rate", (F.col("n_earlier") + F.col("n_base")) / F.lit(float(self.range)))
-            .withColumn("audited_rate", F.when(unseen > 0, F.col("n_false_seen") / unseen))
-            .drop("n_base")
+            F.coalesce(F.avg(F.when(~F.col("truly"), F.col("earlier"))) / F.lit(float(self.range)), F.lit(0.0)).alias("theoretical_rate"),
+            F.when(unseen > 0, F.count_if(F.expr("seen and not truly")) / unseen).alias("audited_rate"),
         )
 
     def sizes(self) -> DataFrame:
-        """Per set: keys, blocks, bytes and bits per key."""
-        bytes_ = F.length("unary") + F.length("rest") + 32
-        return self.blocks.groupBy("node").agg(F.sum("n").alias("n_keys"), F.count("*").alias("n_blocks"), F.sum(bytes_).alias("n_bytes"), (F.sum(bytes_) * 8 / F.sum("n")).alias("bits_per_key"))
+        """Per shard: keys, blocks, bytes and bits per key, and how many of the bits are generations."""
+        bytes_ = F.length("unary") + F.length("rest") + F.length("gens") + 40
+        return self.blocks.groupBy("shard").agg(
+            F.sum("n").alias("n_keys"), F.count("*").alias("n_blocks"), F.sum(bytes_).alias("n_bytes"), (F.sum(bytes_) * 8 / F.sum("n")).alias("bits_per_key"),
+            (F.sum(F.length("gens")) * 8 / F.sum("n")).alias("gen_bits_per_key"),
+        )

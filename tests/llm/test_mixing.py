@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import mixing
 
@@ -47,6 +49,29 @@ def test_slots_are_permutations(mix):
     assert all(n == 32 for s, n in sizes.items() if s != max(sizes))
 
 
+def test_permutations():
+    for size in (1, 2, 3, 7, 64, 1000, 4097):
+        seen = {k: mixing.permuted(np.arange(size), size, k).tolist() for k in (1, 2)}
+        assert all(sorted(v) == list(range(size)) for v in seen.values())
+    big = mixing.permuted(np.arange(20_000), 10**12, 5)
+    assert len(set(big.tolist())) == 20_000
+    # No fixed stride between neighbours, and no correlation with the order.
+    steps = np.diff(big)
+    assert len(set(steps.tolist())) > 19_000 and abs(np.corrcoef(np.arange(20_000), big)[0, 1]) < 0.05
+
+
+def test_ten_million_shards_without_a_list(mix):
+    import copy
+
+    far = copy.copy(mix)
+    far.wanted, far.shard_slots = [6 * 10**9, 3 * 10**9, 10**9], 1000
+    out = far.draws().where("bucket in (0, 9765)").groupBy("shard").agg(F.sum("n").alias("n"), F.max(F.when(F.col("no") == 0, F.col("n"))).alias("a")).collect()
+    assert len(out) == 1024 + 10**7 - 9765 * 1024 and {r["n"] for r in out} == {1000}
+    of_first = [r["a"] for r in out]
+    # Independent draws: mean and spread of a multinomial.
+    assert abs(np.mean(of_first) - 600) < 3 and 12 < np.std(of_first) < 19
+
+
 def test_blocks_hold_each_token_once(mix):
     parts = mix.parts().collect()
     per_block, per_doc = {}, {}

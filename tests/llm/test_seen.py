@@ -24,23 +24,17 @@ def test_gap_code_round_trip(gaps, k):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.sets(st.integers(0, 1 << 30), min_size=1, max_size=3000))
-def test_set_holds_its_members(hashes):
+@given(st.dictionaries(st.integers(0, 1 << 30), st.integers(-1, 5000), min_size=1, max_size=3000))
+def test_set_holds_its_members_and_their_generations(members):
     import pandas as pd
 
-    h = np.array(sorted(hashes), np.int64)
-    blocks = seen.encode_set(pd.DataFrame({"node": 0, "shard": 0, "h": h}))
+    h = np.array(sorted(members), np.int64)
+    gen = np.array([members[x] for x in h.tolist()], np.int64)
+    # A key that comes again later keeps its first generation.
+    blocks = seen.encode_set(pd.DataFrame({"shard": 0, "h": np.tile(h, 2), "gen": np.concatenate((gen + 3, gen))}))
     asked = np.concatenate((h, h + 1, h - 1))
     assert (seen.contains(asked, blocks) == np.isin(asked, h)).all()
-
-
-def test_prefixes_are_covered_once():
-    for gen in range(1 << seen.LEVELS):
-        covered = []
-        for node in seen.nodes_before(gen)[1:]:
-            level, i = divmod(node, 1 << seen.LEVELS)
-            covered += range(i << level, (i + 1) << level)
-        assert sorted(covered) == list(range(gen))
+    assert (seen.first_generation(h, blocks) == gen).all()
 
 
 def data(n=3000):
@@ -79,6 +73,20 @@ def test_found_and_audit(spark):
         assert 0 <= r["theoretical_rate"] <= 2**-3
 
 
+def test_most_answers_come_from_the_sets(spark):
+    visits, known = data()
+    keys = seen.SeenKeys(spark.createDataFrame(visits, SCHEMA), "visit_no", "key", spark.createDataFrame(known, KNOWN), "key")
+    assert keys.answers.where("seen").count() > keys.repeated.count()
+
+
+def test_more_keys_than_one_range_holds(spark):
+    visits, known = data(400)
+    kdf = spark.createDataFrame(known, KNOWN)
+    keys = seen.SeenKeys(spark.createDataFrame(visits, SCHEMA), "visit_no", "key", kdf, "key", fp_bits=40, expected=1 << 33)
+    assert keys.shards * keys.range > 1 << 63
+    assert {r[0] for r in keys.found().collect()} == brute(visits, known)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     some = spark.createDataFrame([("a", 0)], KNOWN)
