@@ -65,7 +65,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per leaked item: documents, stretches, the longest one, and in how many documents its answer stands too."""
     return _leaks(spark, sf_dir).groupBy("item_id").agg(
         F.countDistinct("doc_id").alias("n_docs"), F.count_if(F.col("part") != "short answer").alias("n_stretches"),
-        F.max("n_words").alias("most_words"), F.count_if(F.col("part") == "short answer").alias("n_with_answer"),
+        F.max("n_words").alias("most_words"), F.countDistinct(F.when(F.col("part") == "short answer", F.col("doc_id"))).alias("n_with_answer"),
     )
 
 
@@ -122,7 +122,24 @@ QUERIES = {
 _KEY = "nullif(lower(regexp_replace(nucleotide_id, '^\\s+|\\s+$', '', 'g')), '')"
 _WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 
+# Stretches from all runs of 13 words: runs that overlap or adjoin are one; then every place of short answers beside them; then characters.
+_STRETCHES = f"""with q as (select item_id, part, w from (select item_id, 'question' as part, {_WORDS.format("question")} as w from eval_items union all select item_id, 'answer', {_WORDS.format("answer")} from eval_items)),
+    d as (select doc_id, {_WORDS.format("text")} as w, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') as raw, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') as gaps from documents where text <> ''),
+    qg as (select distinct item_id, part, array_to_string(w[i:i+12], ' ') as g from q, lateral (select unnest(range(1, len(w) - 11)) as i) where len(w) >= 13),
+    dg as (select doc_id, i, array_to_string(w[i:i+12], ' ') as g from d, lateral (select unnest(range(1, len(w) - 11)) as i) where len(w) >= 13),
+    m as (select distinct doc_id, item_id, part, i from qg join dg using (g)),
+    isle as (select *, sum(case when i - p <= 13 then 0 else 1 end) over (partition by doc_id, item_id, part order by i) as n from (select *, lag(i) over (partition by doc_id, item_id, part order by i) as p from m)),
+    runs as (select doc_id, item_id, part, min(i) as a, max(i) + 12 as z from isle group by doc_id, item_id, part, n),
+    shorts as (select doc_id, item_id, 'short answer' as part, i as a, i + len(aw) - 1 as z from (select distinct doc_id, item_id from runs) join (select item_id, w as aw from q where part = 'answer' and len(w) between 1 and 12) using (item_id)
+        join d using (doc_id), lateral (select unnest(range(1, len(w) - len(aw) + 2)) as i) where w[i:i+len(aw)-1] = aw),
+    spans as (select * from runs union all select * from shorts),
+    placed as (select s.*, len(array_to_string(list_concat(gaps[1:a], raw[1:a-1]), '')) as start_char, len(array_to_string(list_concat(gaps[1:z], raw[1:z]), '')) as end_char from spans s join d using (doc_id))
+    """
+
 ORACLE = {
+    "p6_spans": _STRETCHES + "select doc_id, item_id, part, cast(start_char as integer) as start_char, cast(end_char as integer) as end_char, cast(z - a + 1 as integer) as n_words from placed",
+    "p6_items": _STRETCHES + """select item_id, count(distinct doc_id) as n_docs, count(*) filter (where part <> 'short answer') as n_stretches, cast(max(z - a + 1) as integer) as most_words,
+        count(distinct doc_id) filter (where part = 'short answer') as n_with_answer from placed group by 1""",
     "p1_found": f"""with v as (select visit_no, {_KEY} as k from visited_ids), b as (select distinct {_KEY} as k from visited_before)
         select visit_no from (select visit_no, k, row_number() over (partition by k order by visit_no) as n from v where k is not null) where n > 1 or k in (select k from b where k is not null)""",
     "p1_truth": f"""with v as (select visit_no, {_KEY} as k from visited_ids), b as (select distinct {_KEY} as k from visited_before),

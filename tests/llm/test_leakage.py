@@ -55,6 +55,29 @@ def test_portions_agree(spark, monkeypatch):
     assert sorted(tuple(r) for r in leakage.leaks(d, i).collect()) == one
 
 
+def test_every_place_of_a_short_answer(spark):
+    question = " ".join(f"w{i}" for i in range(14))
+    items = [(1, "s", question, "yes, Sir"), (2, "s", "w " * 20, "yes")]
+    docs = [(1, f"Yes sir! {question}; yes SIR yes sir", 0, ""), (2, "yes sir", 0, "")]
+    out = leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).where("part = 'short answer'").collect()
+    text = docs[0][1]
+    assert sorted((r["doc_id"], r["item_id"], text[r["start_char"] : r["end_char"]].lower()) for r in out) == [(1, 1, "yes sir")] * 3
+
+
+def test_one_scan_and_one_automaton_for_many_items(spark):
+    rng = random.Random(1)
+    plain = [w for w in VOCAB if w.isalnum()]
+    items = [(i, "s", " ".join(f"{rng.choice(plain)}{rng.randrange(500)}" for _ in range(45)), "b") for i in range(14_000)]
+    docs = [(i, "x " + " ".join(items[i * 7][2].split()[3 : 3 + n]) + " y", 0, "") for i, n in enumerate([12, 13, 14, 20] * 50)]
+    out = leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sum(len(q) + 1 for _, _, q, _ in items) < leakage.MAX_PATTERN_CHARS
+    got = {(r["doc_id"], r["item_id"], r["n_words"]) for r in out.where("part = 'question'").collect()}
+    assert {(d, i) for d, i, _ in got} == {(i, i * 7) for i, n in enumerate([12, 13, 14, 20] * 50) if n > 12}
+    index = leakage.Index([(i, q, a) for i, _, q, a in items], 13)
+    assert len(index.automaton) <= 14_000 * 6 + 1
+
+
 def test_empty(spark):
     docs, items = data()
     assert leakage.leaks(spark.createDataFrame([], DOC), spark.createDataFrame(items, ITEM)).count() == 0
