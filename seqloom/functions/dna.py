@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.protein import col, let
+from seqloom.functions.protein import col, let, running_sums
 
 #: Standard genetic code, codons in the order T, C, A, G of each place. Fixed value.
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -66,9 +66,7 @@ def reading_frames(frames: DataFrame, contig: str = "contig_id") -> DataFrame:
     its frame; it is folded inside the row, so no window and no shuffle is needed.
     """
     parts = F.split("prot", "\\*", -1)
-    lengths = F.transform(parts, lambda p: F.length(p) + 1)
-    offsets = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    rows = frames.withColumn("_o", offsets).select("*", F.posexplode(parts).alias("orf_index", "orf"))
+    rows = frames.withColumn("_o", running_sums(F.transform(parts, lambda p: F.length(p) + 1))).select("*", F.posexplode(parts).alias("orf_index", "orf"))
     start = F.pmod(F.col("frame"), F.lit(3)) + 3 * F.get("_o", F.col("orf_index"))
     return rows.withColumn("start_nt", start.cast("int")).withColumn("end_nt", (start + 3 * F.length("orf")).cast("int")).drop("_o", "prot")
 

@@ -22,6 +22,26 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running_sums(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Appending copies an array, so sums run within blocks of about the square root of the length,
+    and over the blocks' totals.
+    """
+    upto = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    def of(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+
+        def blocks(w: Column) -> Column:
+            inner = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(xs) / w).cast("int") - 1)), lambda j: upto(F.slice(xs, j * w + 1, w)))
+            return let(inner, lambda i: let(upto(F.transform(i, lambda x: F.element_at(x, -1))), lambda t: F.flatten(F.transform(i, lambda x, j: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + F.get(t, j))))))
+
+        return let(width, blocks)
+
+    return let(numbers, of)
+
+
 def letters(c: str | Column) -> Column:
     """Only the letters of a sequence, in upper case."""
     return F.regexp_replace(F.upper(col(c)), "[^A-Z]+", "")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 10_000
+#: Blocks folded into one at each of LEVELS levels: enough for BLOCK * FAN ** LEVELS rows of a group, and never more than FAN in one row.
+FAN, LEVELS = 1000, 4
 
 
 def unseen(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
@@ -29,7 +31,8 @@ def longest_streaks(rows: DataFrame, group: str, order: str, holds: Column) -> D
     """group, n, longest: the longest run of rows in a row for which holds is true (null: false).
 
     Streaks are found within blocks of the order, each with its leading, trailing and longest
-    run, and the blocks of a group are then folded in order: no group is sorted in one task.
+    run, and the blocks of a group are then folded in order, in levels: no group is sorted in one
+    task and no row holds more than FAN blocks.
     """
     flagged = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(holds, F.lit(False)).alias("x"), F.floor(F.col(order) / BLOCK).alias("b"))
     within = Window.partitionBy("g", "b").orderBy("o")
@@ -39,15 +42,22 @@ def longest_streaks(rows: DataFrame, group: str, order: str, holds: Column) -> D
         F.sum("n").alias("n"), F.max("run").alias("best"), F.coalesce(F.max(F.when(F.col("i") == 0, F.col("run"))), F.lit(0)).alias("lead"),
         F.max_by("run", "i").alias("tail"), (F.count_if(F.col("i") > 0) == 0).alias("whole"),
     )
-    zero = F.lit(0).cast("long")
-    ordered = F.array_sort(F.collect_list(F.struct("b", "best", "lead", "tail", "whole", "n")))
-    state = F.struct(zero.alias("best"), zero.alias("open"))
+    zero, yes = F.lit(0).cast("long"), F.lit(True)
+    parts = ("best", "lead", "tail", "whole", "n")
+    nothing = F.struct(zero.alias("best"), zero.alias("lead"), zero.alias("tail"), yes.alias("whole"), zero.alias("n"))
 
     def fold(s: Column, x: Column) -> Column:
-        across = s["open"] + x["lead"]
-        return F.struct(F.greatest(s["best"], x["best"], across).alias("best"), F.when(x["whole"], s["open"] + x["n"]).otherwise(x["tail"]).alias("open"))
-
-    return blocks.groupBy("g").agg(F.sum("n").alias("n"), F.aggregate(ordered, state, fold)["best"].alias("longest")).withColumnRenamed("g", group)
+        """Two neighbouring stretches as one; whole: all of it is one run."""
+        return F.struct(
+            F.greatest(s["best"], x["best"], s["tail"] + x["lead"]).alias("best"), F.when(s["whole"], s["n"] + x["lead"]).otherwise(s["lead"]).alias("lead"),
+            F.when(x["whole"], s["tail"] + x["n"]).otherwise(x["tail"]).alias("tail"), (s["whole"] & x["whole"]).alias("whole"), (s["n"] + x["n"]).alias("n"),
+        )
+
+    for level in range(LEVELS):
+        ordered = F.array_sort(F.collect_list(F.struct("b", *parts)))
+        up = F.floor(F.col("b") / FAN) if level < LEVELS - 1 else F.lit(0)
+        blocks = blocks.groupBy("g", up.alias("_up")).agg(F.aggregate(ordered, nothing, fold).alias("x")).select("g", F.col("_up").alias("b"), *[F.col(f"x.{c}").alias(c) for c in parts])
+    return blocks.select(F.col("g").alias(group), "n", F.col("best").alias("longest"))
 
 
 def memberships(sets: dict[str, DataFrame], key: str) -> DataFrame:

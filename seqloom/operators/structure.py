@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.protein import let
+
 #: Widening of a motif for the means of its domain.
 PAD = 45
 
@@ -53,6 +55,39 @@ def window_means(residues: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.select("structure").join(means.withColumn("dip", dip), "structure", "left")
 
 
+def chains(residues: DataFrame) -> DataFrame:
+    """structure, atoms: the residues of each structure as one array in order of pos, from 0. residues: structure, pos, x, y, z, b.
+
+    A structure is one molecule, so its array is bounded by nature. All measures below look into
+    the array of their own row and shuffle nothing.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*[F.col(c).cast("double").alias(c) for c in "xyzb"]).alias("a"))))
+    return residues.groupBy("structure").agg(F.transform(ordered, lambda r: r["a"]).alias("atoms"))
+
+
+def distance_in(atoms: Column, spans: Column) -> Column:
+    """Distance between the last residues (H) of the first two motifs; null if there are fewer or a residue is missing."""
+    at = lambda i: F.get(atoms, F.get(spans, F.lit(i))["end"] - 1)
+    return F.sqrt(sum((F.pow(at(0)[k] - at(1)[k], 2) for k in "yz"), F.pow(at(0)["x"] - at(1)["x"], 2)))
+
+
+def mean_in(atoms: Column, lo: Column, hi: Column) -> Column:
+    """Mean of b over the positions from lo to before hi, to two places; null if there is none."""
+    lo = F.greatest(lo, F.lit(0))
+    part = F.filter(F.slice(atoms, lo + 1, F.greatest(hi - lo, F.lit(0))), lambda a: a["b"].isNotNull())
+    return let(part, lambda p: F.when(F.size(p) > 0, F.round(F.aggregate(p, F.lit(0.0), lambda s, a: s + a["b"]) / F.size(p), 2)))
+
+
+def means_in(atoms: Column, spans: Column) -> Column:
+    """linker, domain1, domain2 and dip as window_means has them, from the arrays of a row; null without two motifs."""
+    s1, s2 = F.get(spans, F.lit(0)), F.get(spans, F.lit(1))
+    means = F.struct(
+        mean_in(atoms, s1["end"], s2["start"]).alias("linker"), mean_in(atoms, s1["start"] - PAD, s1["end"] + PAD).alias("domain1"), mean_in(atoms, s2["start"] - PAD, s2["end"] + PAD).alias("domain2")
+    )
+    dip = lambda m: F.struct(m["linker"].alias("linker"), m["domain1"].alias("domain1"), m["domain2"].alias("domain2"), ((m["linker"] < 60) & (m["domain1"] > 80) & (m["domain2"] > 80)).alias("dip"))
+    return F.when(F.size(spans) >= 2, let(means, dip))
+
+
 def best_scores(scores: DataFrame) -> DataFrame:
     """structure, best, best_ref, n_refs of scores (structure, ref, tm): null scores are left out, best is at least 0; the first name wins ties."""
     s = scores.where("tm is not null").groupBy("structure").agg(F.max("tm").alias("m"), F.min_by("ref", F.struct(-F.col("tm"), "ref")).alias("best_ref"), F.count("*").alias("n_refs"))

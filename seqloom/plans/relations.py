@@ -90,30 +90,28 @@ def verdict_counts(spark, d):
     return table(spark, d, "lead_candidates_filtered").groupBy(F.lower(F.trim("ai_verdict")).alias("verdict")).agg(F.count("*").alias("n"), F.count_if(F.col("safety_score") >= 75).alias("n_safe"))
 
 
-def _residues(spark, d):
-    """Residues of the mined proteins with places made from their position and letter."""
-    rows = table(spark, d, "mined_proteins").select(F.col("rec_id").alias("structure"), protein.letters("seq").alias("seq")).where("seq is not null")
-    each = rows.select("structure", F.posexplode(F.split("seq", "")).alias("pos", "aa")).where("aa <> ''")
-    c = F.ascii("aa")
-    return each.select("structure", "pos", (F.col("pos") % 50 * 1.5).alias("x"), (F.floor(F.col("pos") / 50) * 3.8).alias("y"), (c % 7).cast("double").alias("z"), (50 + (c * F.col("pos")) % 50).cast("double").alias("b"))
+def _structures(spark, d):
+    """Mined proteins as structures: an atom per residue, its place and factor made from position and letter, and the motifs."""
+    rows = spread(table(spark, d, "mined_proteins").select("rec_id", "seq")).select(F.col("rec_id").alias("structure"), protein.letters("seq").alias("seq")).where("seq is not null")
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
 
+    def atom(c, i):
+        return F.struct((i % 50 * 1.5).alias("x"), (F.floor(i / 50) * 3.8).alias("y"), (F.ascii(c) % 7).cast("double").alias("z"), (50 + (F.ascii(c) * i) % 50).cast("double").alias("b"))
 
-def _spans(spark, d):
-    rows = table(spark, d, "mined_proteins").select(F.col("rec_id").alias("structure"), protein.letters("seq").alias("seq")).where("seq is not null")
-    return rows.select("structure", protein.motif_spans("seq").alias("spans"))
+    return rows.select("structure", F.transform(letters, atom).alias("atoms"), protein.motif_spans("seq").alias("spans"))
 
 
 def catalytic_distance(spark, d):
-    return structure.catalytic_distance(_residues(spark, d), _spans(spark, d)).select("structure", F.round("distance", 4).alias("distance"))
+    return _structures(spark, d).select("structure", F.round(structure.distance_in(F.col("atoms"), F.col("spans")), 4).alias("distance"))
 
 
 def window_means(spark, d):
-    return structure.window_means(_residues(spark, d), _spans(spark, d))
+    return _structures(spark, d).select("structure", structure.means_in(F.col("atoms"), F.col("spans")).alias("m")).select("structure", "m.*")
 
 
 def functional_scores(spark, d):
     """Structures by the number of checks they pass, then the distance of their catalytic residues."""
-    both = structure.catalytic_distance(_residues(spark, d), _spans(spark, d)).join(structure.window_means(_residues(spark, d), _spans(spark, d)), "structure")
+    both = _structures(spark, d).select("structure", structure.distance_in(F.col("atoms"), F.col("spans")).alias("distance"), structure.means_in(F.col("atoms"), F.col("spans")).alias("m")).select("structure", "distance", "m.*")
     rank = structure.functional_rank([F.col("distance") < 25, F.col("linker") < 75, F.col("domain1") > 70, F.col("domain2") > 70], -F.coalesce("distance", F.lit(1e9)))
     return both.withColumn("rank", rank).orderBy(F.desc("rank"), "structure").select("structure", "rank.n_passed", F.round(F.col("rank.tie"), 4).alias("tie"))
 

@@ -9,40 +9,47 @@ from seqloom.operators import expression, matching, specificity
 from seqloom.runtime import table
 
 
-def _counts(spark, d, least):
-    """fusion, cancer, n: customers per part and order priority over returned large lines."""
-    lines = table(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= least)).select("l_orderkey", "l_partkey")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    counted = joined.groupBy(F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("fusion"), F.col("o_orderpriority").alias("cancer")).agg(F.countDistinct("o_custkey").alias("n"))
-    return counted.withColumn("row_ord", F.substring("cancer", 1, 1).cast("int"))
+def _patients(spark, d, fusion):
+    """fusion, cancer, n: customers by order priority over all lines, for fusions named by the columns of a line."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.concat(*fusion).alias("fusion"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("cancer"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("fusion", "cancer").agg(F.countDistinct("o_custkey").alias("n"))
+
+
+def _counts(spark, d):
+    """A fusion is a part at a place of the order: in few enough orders to miss some priorities."""
+    return _patients(spark, d, [F.lit("F"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")]).withColumn("row_ord", F.substring("cancer", 1, 1).cast("int"))
 
 
 def fusion_specificity(spark, d):
-    return specificity.ranked(specificity.specificity(_counts(spark, d, 40)), "fusion")
+    return specificity.ranked(specificity.specificity(_counts(spark, d)), "fusion")
+
+
+#: Order priorities. Fixed values of the tables.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def _matrix(spark, d):
-    """Wide matrix: one row per order priority, one column per part brand and type."""
-    lines = table(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)).select("l_orderkey", "l_partkey")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    parts = table(spark, d, "part").select("p_partkey", F.concat_ws("-", "p_brand", "p_type").alias("fusion"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    names = [f"Brand#{b}-{t}" for b in range(1, 26) for t in ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "LARGE", "SMALL")]
-    return joined.groupBy(F.col("o_orderpriority").alias("cancer")).pivot("fusion", names).agg(F.countDistinct("o_custkey"))
+    """Wide matrix: one row per part, return flag and line status, one column per order priority; empty where nobody ordered."""
+    counts = _patients(spark, d, [F.lit("M"), F.col("l_partkey").cast("string"), F.lit("-"), "l_returnflag", "l_linestatus"])
+    return counts.groupBy(F.col("fusion").alias("part")).pivot("cancer", PRIORITIES).agg(F.first("n"))
+
+
+def _unpivoted(spark, d):
+    # The columns of this matrix are the cancers, its rows the fusions.
+    return specificity.unpivoted(_matrix(spark, d), "part").select(F.col("part").alias("fusion"), F.col("fusion").alias("cancer"), F.col("n").cast("long").alias("n"), (F.col("col_ord") + 1).alias("row_ord"))
 
 
 def matrix_unpivot(spark, d):
-    return specificity.unpivoted(_matrix(spark, d), "cancer").where("n > 0").select("cancer", "fusion", F.col("n").cast("long").alias("n"))
+    return _unpivoted(spark, d).select("cancer", "fusion", "n")
 
 
 def matrix_specificity(spark, d):
-    long_ = specificity.unpivoted(_matrix(spark, d), "cancer").withColumn("row_ord", F.substring("cancer", 1, 1).cast("int"))
-    return specificity.specificity(long_, max_tissues=5).select("fusion", "primary_disease", "tissue_types_count", F.col("total_patients").cast("long").alias("total_patients"), "specificity_score")
+    return specificity.specificity(_unpivoted(spark, d))
 
 
 def disease_map(spark, d):
-    return specificity.disease_map(_counts(spark, d, 40))
+    return specificity.disease_map(_counts(spark, d))
 
 
 def known_cancers(spark, d):
@@ -157,14 +164,13 @@ QUERIES = {
 }
 
 
-def _counts_sql(least):
-    return f"""(select 'F' || l_partkey as fusion, o_orderpriority as cancer, count(distinct o_custkey) as n, cast(o_orderpriority[1] as integer) as row_ord
-        from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R' and l_quantity >= {least} group by 1, 2)"""
+def _counts_sql(fusion):
+    return f"""(select {fusion} as fusion, o_orderpriority as cancer, count(distinct o_custkey) as n, cast(o_orderpriority[1] as integer) as row_ord
+        from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)"""
 
 
-_LONG = """(select o_orderpriority as cancer, p_brand || '-' || p_type as fusion, count(distinct o_custkey) as n, cast(o_orderpriority[1] as integer) as row_ord
-    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_returnflag = 'R' and l_quantity >= 49
-    and p_type in ('ECONOMY', 'STANDARD', 'PROMO', 'MEDIUM', 'LARGE', 'SMALL') and cast(p_brand[7:] as integer) between 1 and 25 group by 1, 2)"""
+_SPARSE = _counts_sql("'F' || l_partkey || '-' || l_linenumber")
+_LONG = _counts_sql("'M' || l_partkey || '-' || l_returnflag || l_linestatus")
 _FUSIONS = "(select distinct fusion from (select fusionsss as fusion from novel_fusions union all select fusion_name from high_specificity_targets) where fusion is not null)"
 
 
@@ -189,10 +195,10 @@ ORACLE = {
         select fusion, disease, patients, enzyme, {_SITES} as valid_cut_sites, junction[1:15] || '...' as junction_preview, 'imputed' as junction_source
         from j, (select distinct new_id as enzyme from family_manifest) where {_SITES} > 0""",
     "fusion_specificity": f"""select fusion, arg_max(cancer, struct_pack(n := n, o := -row_ord)) as primary_disease, count(*) as tissue_types_count, sum(n) as total_patients, 1 / count(*) as specificity_score
-        from {_counts_sql(40)} group by 1 having count(*) <= 3""",
+        from {_SPARSE} group by 1 having count(*) <= 3""",
     "matrix_unpivot": f"select cancer, fusion, n from {_LONG}",
-    "matrix_specificity": f"""select fusion, arg_max(cancer, struct_pack(n := n, o := -row_ord)) as primary_disease, count(*) as tissue_types_count, sum(n) as total_patients, 1 / count(*) as specificity_score from {_LONG} group by 1""",
-    "disease_map": f"select fusion, string_agg(cancer, ', ' order by row_ord) as diseases from {_counts_sql(40)} group by 1",
+    "matrix_specificity": f"""select fusion, arg_max(cancer, struct_pack(n := n, o := -row_ord)) as primary_disease, count(*) as tissue_types_count, sum(n) as total_patients, 1 / count(*) as specificity_score from {_LONG} group by 1 having count(*) <= 3""",
+    "disease_map": f"select fusion, string_agg(cancer, ', ' order by row_ord) as diseases from {_SPARSE} group by 1",
     "known_cancers": """with l as (select trim(target_fusion) as fusion, upper(trim(unnest(string_split(translate(associated_disease, ';', ','), ',')))) as code from lead_candidates_filtered where trim(target_fusion) <> '' and lower(trim(associated_disease)) <> 'unknown'),
         k as (select distinct upper(trim(primary_disease)) as code from high_specificity_targets where primary_disease is not null)
         select fusion, string_agg(code, ',' order by code) as cancers, count(*) as n_cancers from (select distinct fusion, code from l join k using (code)) group by 1""",

@@ -40,35 +40,47 @@ def distinct_keys(df: DataFrame, key: str, folder: str) -> DataFrame:
 
 
 def mine(df: DataFrame, key: str, order: str, known: DataFrame, folder: str) -> DataFrame:
-    """Each micro-batch: its rows with keys never seen (the first of each key), appended to the state.
+    """Each micro-batch: the first row of each key that was neither known nor in an earlier batch; key, order, batch.
 
-    A batch writes the part of the table that has its own number, so a batch that is run again
-    after a failure replaces what it wrote and sees only what earlier batches did.
+    The keys are in the state store, each with the time of the batch that brought it, so a batch
+    costs what it brings and not what came before. A batch writes the part of the table that has
+    its own number, so one that is run again after a failure replaces what it wrote.
     """
     spark = df.sparkSession
-    state = f"{folder}/state"
-    known.where(F.col(key).isNotNull()).select(key, F.lit(None).cast("long").alias(order)).distinct().write.parquet(f"{state}/batch=-1")
+    schema = df.select(key, F.col(order).cast("long").alias(order)).schema
+    seen = known.where(F.col(key).isNotNull()).select(key).distinct()
+    # The time of a batch is fixed when it is planned, also for a batch that is run again.
+    stamped = df.where(F.col(key).isNotNull()).select(key, F.struct(F.current_timestamp().alias("t"), F.col(order).cast("long").alias("o")).alias("x"))
+    first = stamped.groupBy(key).agg(F.min("x").alias("x"))
+    new = first.where(F.col("x.t") == F.current_timestamp()).select(key, F.col("x.o").alias(order))
 
     def each(batch: DataFrame, n: int) -> None:
-        seen = spark.read.parquet(state).where(F.col("batch") < n).select(key)
-        new = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order)).join(seen, key, "left_anti")
-        new.select(key, F.col(order).cast("long")).write.mode("overwrite").parquet(f"{state}/batch={n}")
+        batch.join(seen, key, "left_anti").write.mode("overwrite").parquet(f"{folder}/new/batch={n}")
 
-    run_available(df, folder, "append", each)
-    return spark.read.parquet(state).where("batch >= 0").select(key, order, "batch")
+    run_available(new, folder, "update", each)
+    return _batches(spark, f"{folder}/new", schema).select(key, order, "batch")
+
+
+def _batches(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """What the batches wrote, with their numbers; an empty table before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*").withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("int"))
 
 
 def windowed(df: DataFrame, at: str, by: str, value: str, width: str, late: str, folder: str) -> DataFrame:
-    """start, by, n, total per tumbling window, with a watermark; the table after all that is there."""
+    """start, by, n, total per tumbling window, with a watermark; the table after all that is there.
+
+    Each batch writes the windows it changed (update mode), so windows behind the watermark leave
+    the state; the last batch of a window holds.
+    """
     sums = df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     out = sums.select(F.col("window.start").alias("start"), by, "n", "total")
 
     def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out-{n}")
-        last.append(n)
-
-    last: list[int] = []
-    run_available(out, folder, "complete", each)
-    if not last:
-        return df.sparkSession.createDataFrame([], out.schema)
-    return df.sparkSession.read.parquet(f"{folder}/out-{max(last)}")
+        batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={n}")
+
+    run_available(out, folder, "update", each)
+    written = _batches(df.sparkSession, f"{folder}/windows", out.schema)
+    return written.groupBy("start", by).agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("start", by, "x.n", "x.total")
