@@ -2,8 +2,10 @@
 
 Every target row is one delta of +1 to its key's existence when it comes into force and one of
 -1 when it leaves; every reference is a delta of +1 to the key's reference count. The counts
-are summed in two levels, first per key and day, then along the time within a key's day, so a
-key that holds a large part of all rows is spread over the days on which it is used.
+are summed per key and day before anything else, and along the days of a key. The changes of a
+key within one day become a short list of steps, which a plain join brings to the references of
+that day: no reference is sorted or gathered, however many share a key and a day, and a join with
+a hot key is one that the adaptive planner splits.
 """
 
 from __future__ import annotations
@@ -49,43 +51,31 @@ def orphans(deltas: DataFrame, refs: DataFrame) -> DataFrame:
     Repeated rows each count; empty inputs give an empty result.
     """
     nil = F.to_timestamp(F.lit(FAR_PAST))
-    day = F.date_trunc("day", F.coalesce("t", nil))
-    moves = deltas.select("ref_field", "k", "t", F.lit(None).cast("long").alias("row_id"), F.lit(0).alias("refs"), "alive", "began", F.lit(1).alias("targets"))
-    uses = refs.select("ref_field", "k", "t", "row_id", F.lit(1).alias("refs"), F.lit(0).cast("long").alias("alive"), F.lit(0).cast("long").alias("began"), F.lit(0).alias("targets"))
-    events = moves.unionByName(uses).withColumn("day", day)
-
-    # Level 1: counts per key and day, then over the earlier days of the key.
-    days = events.groupBy("ref_field", "k", "day").agg(F.sum("alive").alias("alive"), F.sum("began").alias("began"), F.sum("targets").alias("targets"), F.sum("refs").alias("refs"))
+    own = ["ref_field", "k", "day"]
+    at = F.coalesce("t", nil)
+    nothing = F.lit(0).cast("long")
+
+    # Counts per key and day. Changes of one instant are one step already, so a day's steps are as many as its instants of change.
+    step = F.struct(at.alias("t"), "alive", "began")
+    changed = deltas.withColumn("day", F.date_trunc("day", at)).groupBy(*own).agg(
+        F.sum("alive").alias("alive"), F.sum("began").alias("began"), F.count("*").alias("targets"), nothing.alias("refs"), F.array_sort(F.collect_list(step)).alias("steps")
+    )
+    uses = refs.withColumn("day", F.date_trunc("day", at))
+    used = uses.groupBy(*own).agg(nothing.alias("alive"), nothing.alias("began"), nothing.alias("targets"), F.count("*").alias("refs"), F.lit(None).cast(changed.schema["steps"].dataType).alias("steps"))
+    sums = [F.sum(c).alias(c) for c in ("alive", "began", "targets", "refs")]
+    days = changed.unionByName(used).groupBy(*own).agg(*sums, F.first("steps", ignorenulls=True).alias("steps"))
     per_key = Window.partitionBy("ref_field", "k")
     before = per_key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    opening = (
-        days.select(
-            "ref_field", "k", "day", "refs",
-            F.coalesce(F.sum("alive").over(before), F.lit(0)).alias("alive0"),
-            F.coalesce(F.sum("began").over(before), F.lit(0)).alias("began0"),
-            F.sum("targets").over(per_key).alias("all_targets"),
-            F.col("targets").alias("day_targets"),
-        )
-        .where("refs > 0")
-    )
-
-    # A day on which no target of the key changes needs no order within it.
-    quiet = opening.where("day_targets = 0 and alive0 <= 0 or day_targets > 0").drop("refs")
-    held = uses.withColumn("day", day).join(quiet, ["ref_field", "k", "day"])
-    still = held.where("day_targets = 0").select("ref_field", "k", "t", "row_id", "alive0", "began0", "all_targets")
-
-    # Level 2: along the time within the days on which both happen. Target changes of the same instant come first.
-    busy = opening.where("day_targets > 0").select("ref_field", "k", "day", "alive0", "began0", "all_targets")
-    along = Window.partitionBy("ref_field", "k", "day").orderBy(F.coalesce("t", nil)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    moving = (
-        events.join(busy, ["ref_field", "k", "day"])
-        .withColumn("alive0", F.col("alive0") + F.sum("alive").over(along))
-        .withColumn("began0", F.col("began0") + F.sum("began").over(along))
-        .where("refs = 1 and alive0 <= 0")
-        .select("ref_field", "k", "t", "row_id", "alive0", "began0", "all_targets")
-    )
-    kind = F.when(F.col("all_targets") == 0, "missing").when(F.col("began0") > 0, "deleted").otherwise("late")
-    return still.unionByName(moving).select("ref_field", "k", "t", "row_id", kind.alias("orphan_kind"))
+    opening = days.select(
+        *own, "refs", "steps", F.coalesce(F.sum("alive").over(before), nothing).alias("alive0"), F.coalesce(F.sum("began").over(before), nothing).alias("began0"), F.sum("targets").over(per_key).alias("all_targets")
+    ).where("refs > 0 and (steps is not null or alive0 <= 0)")
+
+    # Target changes of the same instant come first.
+    upto = F.filter("steps", lambda x: x["t"] <= at)
+    after = lambda c: F.col(f"{c}0") + F.coalesce(F.aggregate(upto, nothing, lambda n, x: n + x[c]), nothing)
+    held = uses.join(opening.drop("refs"), own).withColumn("alive1", after("alive")).where("alive1 <= 0")
+    kind = F.when(F.col("all_targets") == 0, "missing").when(after("began") > 0, "deleted").otherwise("late")
+    return held.select("ref_field", "k", "t", "row_id", kind.alias("orphan_kind"))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -92,17 +92,32 @@ def p3_high_specificity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_profile, p3_found, p3_types, p3_novel_fusions, p3_high_specificity_targets, p5_found, p5_report, p5_current)}
 
 
-def _packed_sql() -> str:
+def _packed_parts_sql() -> str:
+    """Tokens and what stands between them, for brackets in up to four levels; without look-ahead, the same on well-formed quotes."""
+    bracket = r"\([^()]*\)"
+    for _ in range(3):
+        bracket = rf"\((?:[^()]|{bracket})*\)"
     parts = []
     for name, field, key, blank_cuts in PACKED:
         blank = "" if blank_cuts else " "
-        # Without look-ahead; the same on well-formed quotes.
-        pattern = r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|(?:[\p{L}\p{Nd}.:%\-BLANK]|\([^()]*\))+)""".replace("BLANK", blank).replace("'", "''")
-        clean = "trim(case when t like '\"%' then replace(t[2:len(t)-1], '\"\"', '\"') when t like '''%' then replace(t[2:len(t)-1], '\'\'\'\'\'\'', '\'\'\'\'') else t end)"
-        parts.append(
-            f"select '{name}.{field}' as field_name, {key} as row_id, list_filter(list_transform(regexp_extract_all({field}, '{pattern}'), lambda t: {clean}), lambda x: x <> '') as xs from {name}"
-        )
-    return "with parts as (" + " union all ".join(parts) + ") select field_name, row_id, cast(p as integer) as item_pos, xs[p] as item from (select field_name, row_id, xs, unnest(range(1, len(xs) + 1)) as p from parts where len(xs) >= 2)"
+        pattern = (r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|(?:[\p{L}\p{Nd}.:%\-BLANK]|""".replace("BLANK", blank) + bracket + ")+)").replace("'", "''")
+        parts.append(f"select '{name}.{field}' as field_name, {key} as row_id, regexp_extract_all({field}, '{pattern}') as toks, regexp_split_to_array({field}, '{pattern}') as gaps from {name} where {field} is not null")
+    return " union all ".join(parts)
+
+
+_CLEAN = "trim(case when t like '\"%' then replace(t[2:len(t)-1], '\"\"', '\"') when t like '''%' then replace(t[2:len(t)-1], '''''', '''') else t end)"
+_KIND = "case when t like '\"%' or t like '''%' then 'quoted' when t like '%(%' then 'bracketed' else 'bare' end"
+
+
+def _error_sql(text: str) -> str:
+    return f"concat_ws(',', case when regexp_matches({text}, '[\"'']') then 'quote' end, case when regexp_matches({text}, '[()]') then 'bracket' end)"
+
+
+_ITEMS_SQL = f"""with parts as ({_packed_parts_sql()}),
+    each as (select field_name, row_id, p, toks[p] as t, gaps[p] || case when p = len(toks) then gaps[p + 1] else '' end as gap, array_to_string(gaps, '') as rest from parts, lateral (select unnest(range(1, len(toks) + 1)) as p)),
+    items as (select field_name, row_id, p, {_CLEAN} as item, {_KIND} as kind, {_error_sql("rest")} as error, {_error_sql("gap")} as item_error from each),
+    kept as (select field_name, row_id, cast(row_number() over (partition by field_name, row_id order by p) as integer) as item_pos, item, kind, error, item_error, count(*) over (partition by field_name, row_id) as n from items where item <> '')
+    """
 
 
 def _key_sql(col: str) -> str:
@@ -160,7 +175,9 @@ union all select file_id, 'type_changed', a, b from votes where old_type <> new_
 """
 
 ORACLE = {
-    "p2_found": _packed_sql(),
+    "p2_found": _ITEMS_SQL + "select field_name, row_id, item_pos, item from kept where n >= 2",
+    "p2_items": _ITEMS_SQL + "select field_name, row_id, item_pos, item, kind, error, item_error from kept",
+    "p2_profile": _ITEMS_SQL + "select field_name, kind, error, count(*) as n_items, max(item_pos) as most_items from kept group by 1, 2, 3",
     "p3_found": _DRIFT_SQL,
     "p3_types": f"""select dataset, series_id, file_no, file_id, path, count(*) as n_lines, count(kind) as n_values, count(*) filter (where kind = 'boolean') as n_boolean,
         count(*) filter (where kind = 'integer') as n_integer, count(*) filter (where kind = 'decimal') as n_decimal, count(*) filter (where kind = 'text') as n_text,

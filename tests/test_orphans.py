@@ -43,6 +43,18 @@ def test_against_brute_force(spark):
     assert set(got) == brute(targets, refs)
 
 
+def test_one_key_and_one_day(spark):
+    rng = random.Random(4)
+    at = lambda: T0 + timedelta(minutes=rng.randrange(1400))
+    targets = [("hot", at(), rng.choice([None, at()])) for _ in range(25)]
+    refs = [(i, "HOT ", at()) for i in range(800)]
+    found = run(spark, targets, refs)
+    assert set(rows(found.select("row_id", "orphan_kind"))) == brute(targets, refs)
+    # References meet their day's steps by a join; no window and no sort holds them.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("row_id" not in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_edges_of_time(spark):
     d = lambda n: T0 + timedelta(days=n)
     targets = [("k", d(2), d(4)), ("k", d(6), None), ("never", d(5), d(5))]

@@ -14,12 +14,10 @@ def allowed(c, blank_cuts):
 
 
 def bracket(text, i):
-    """End of the bracket at i, or None; one more level may stand inside."""
+    """End of the bracket at i, or None; brackets of any depth may stand inside."""
     depth, j = 0, i
     while j < len(text):
         depth += (text[j] == "(") - (text[j] == ")")
-        if depth > 2:
-            return None
         j += 1
         if depth == 0:
             return j
@@ -69,7 +67,7 @@ def plain(text, blank_cuts=False):
 def run(spark, texts, blank_cuts=False):
     df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)], SCHEMA)
     got = {}
-    for _, i, pos, item, _, _ in rows(packed.unpack(df, "f", "id", "t.f", blank_cuts)):
+    for _, i, pos, item, _, _, _ in rows(packed.unpack(df, "f", "id", "t.f", blank_cuts)):
         got.setdefault(i, {})[pos] = item
     return [[got[i][p] for p in range(1, len(got[i]) + 1)] if i in got else [] for i in range(len(texts))]
 
@@ -91,6 +89,34 @@ def test_random_texts(spark, texts, blank_cuts):
     assert run(spark, texts, blank_cuts) == [plain(t, blank_cuts) for t in texts]
 
 
+def test_brackets_of_any_depth(spark):
+    deep = "(" * 3000 + "x, y" + ")" * 3000
+    texts = ["Foo (a (b (c, e)) d), Bar", "a (b, (c, (d))), e", "(((((a, b)))))); c", "((((a, b); (c, d", deep + "; z", '"q (((", (((a, b)))', "a (1, (2) (3, (4))), b"]
+    got = run(spark, texts)
+    assert got == [plain(t) for t in texts]
+    assert got[0] == ["Foo (a (b (c, e)) d)", "Bar"] and got[4] == [deep, "z"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="a \"'(),;1", max_size=24), st.booleans())
+def test_reader_of_deep_texts(text, blank_cuts):
+    assert [x[0] for x in packed.read(text, blank_cuts)[0]] == plain(text, blank_cuts)
+
+
+def test_both_readers_agree(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab (),;\"'") for _ in range(rng.randrange(16))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, f string")
+    got = {}
+    for r in packed.unpack(df, "f", "id", "t.f").collect():
+        got.setdefault(r["row_id"], []).append((r["item_pos"], r["item"], r["kind"], r["item_error"], r["error"]))
+    for i, t in enumerate(texts):
+        items, error = packed.read(t)
+        assert sorted(got.get(i, [])) == [(n + 1, *x, error) for n, x in enumerate(items)]
+
+
 def test_long_text_and_errors(spark):
     long_ = ", ".join(["v" * 50] * 20_000) + ', "' + "x" * 100_000
     df = spark.createDataFrame([(1, long_), (2, 'a "b'), (3, "a (b"), (4, "a, b")], "id long, f string")
