@@ -4,7 +4,8 @@
 2. The distinct 5-letter stretches of a class are hashed once; the smallest hash in each of 256
    parts of the hash range is a min-hash, its lowest bit one bit of the fingerprint. Two sets of
    similarity s differ in about 256 * (1 - s) / 2 bits.
-3. The pivot table holds the Hamming distances of each fingerprint to 64 reference fingerprints.
+3. The pivot table holds the Hamming distances of each fingerprint to 32 reference fingerprints; it
+   is made once for each class and kept beside its fingerprint.
    By the triangle inequality two fingerprints differ in at least the largest difference of
    their coordinates; pairs for which that exceeds the bound are dropped unseen.
 4. Survivors within the Hamming bound are verified on the sequences themselves.
@@ -34,7 +35,7 @@ from seqloom.runtime import cut
 
 K = 5
 PARTS = 256
-PIVOTS = 64
+PIVOTS = 32
 #: A sequence with fewer distinct stretches is held against others by its rarest stretches, without fingerprints.
 EXACT = 300
 #: Sequences of one stretch that meet in one sub-key.
@@ -140,31 +141,38 @@ def _bits(prints: list[bytes]) -> np.ndarray:
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def pivot_filter(pivots: list[bytes], bound: int = HAMMING_BOUND):
-    """A mapInArrow function: keeps pairs whose pivot coordinates, and then whose fingerprints, allow the similarity."""
+def tabled(pivots: list[bytes]):
+    """A mapInArrow function from (cls, print): adds the row of the pivot table, a byte per distance (256 is kept as 255, which only narrows differences)."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = _bits(pivots)
+        for batch in batches:
+            prints = _bits(batch.column(1).to_pylist())
+            rows = np.stack([np.minimum(_ONES[prints ^ r].sum(1, dtype=np.int16), 255) for r in refs], 1).astype(np.uint8) if len(refs) else np.zeros((len(prints), 0), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in rows], pa.binary())], names=["cls", "print", "row"])
+
+    return add
+
+
+#: What became of a pair that met: dropped by the pivot table, by the Hamming bound, or kept for the exact check.
+BY_PIVOTS, BY_HAMMING, KEPT = 0, 1, 2
+
 
-        def table_of(prints: np.ndarray) -> np.ndarray:
-            """Distances to all pivots: one row of the table per fingerprint."""
-            return np.stack([_ONES[prints ^ r].sum(1, dtype=np.int16) for r in refs], 1)
+def judged(bound: int):
+    """A mapInArrow function from (a, b, pa, pb, ra, rb): a, b and what became of the pair."""
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # The table is computed once for each fingerprint of the batch.
-            both = batch.column(2).to_pylist() + batch.column(3).to_pylist()
-            known = {p: i for i, p in enumerate(dict.fromkeys(both))}
-            prints = _bits(list(known))
-            at = np.array([known[p] for p in both])
-            a, b = at[: batch.num_rows], at[batch.num_rows :]
-            distances = table_of(prints)
-            near = np.abs(distances[a] - distances[b]).max(1) <= bound
-            near[near] = _ONES[prints[a[near]] ^ prints[b[near]]].sum(1, dtype=np.int16) <= bound
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
+            pa_, pb, ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3, 4, 5))
+            far = np.abs(ra.astype(np.int16) - rb).max(1, initial=0) > bound
+            what = np.where(far, BY_PIVOTS, KEPT).astype(np.int8)
+            near = ~far
+            what[near] = np.where(_ONES[pa_[near] ^ pb[near]].sum(1, dtype=np.int16) > bound, BY_HAMMING, KEPT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(what)], names=["a", "b", "what"])
 
-    return keep
+    return judge
 
 
 def verifier(similarity: float):
@@ -207,11 +215,11 @@ class NearDuplicates:
         letters = F.regexp_replace(F.upper("seq"), "[^A-Z]+", "")
         self.similarity = similarity
         rows = records.where("seq is not null").select("rec_id", letters.alias("seq"))
-        hashed = rows.withColumn("h", F.xxhash64("seq")).withColumn("g", F.hash("seq"))
-        # 96 bits of hash stand for the text in the classes of equal sequences.
+        # The SHA-256 of a text stands for it: no two texts with the same one are known, so equal classes are equal texts.
+        hashed = rows.select("rec_id", F.unhex(F.sha2("seq", 256)).alias("h"))
         # Only classes of several copies are joined back, and those are summed before the shuffle.
-        copied = hashed.groupBy("h", "g").agg(F.min("rec_id").alias("cls"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = cut(hashed.select("rec_id", "h", "g").join(copied, ["h", "g"], "left").select("rec_id", F.coalesce("cls", "rec_id").alias("cls")))
+        copied = hashed.groupBy("h").agg(F.min("rec_id").alias("cls"), F.count("*").alias("n")).where("n > 1").drop("n")
+        members = cut(hashed.join(copied, "h", "left").select("rec_id", F.coalesce("cls", "rec_id").alias("cls")))
         self.members = members
         self.texts = rows.join(members.where("rec_id = cls").select("rec_id"), "rec_id").select(F.col("rec_id").alias("cls"), "seq")
 
@@ -235,33 +243,57 @@ class NearDuplicates:
         near = (F.least("na", "nb") < least) & (F.least("na", "nb") >= F.greatest("na", "nb") * self.similarity - 1e-6)
         return left.join(right, ["code", "salt"]).where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
 
-    def links(self) -> DataFrame:
-        """a, b, similarity: alike classes, a < b, each pair once."""
+    def sketched(self) -> tuple[DataFrame, DataFrame, int | None, int]:
+        """Sketches of the classes; those that take fingerprints; the most stretches of a class that does not; and the stretches from which one does."""
         bands, width = bands_of(self.similarity)
         sketches = cut(self.texts.where(f"length(seq) >= {K}").mapInArrow(sketcher(bands, width), "cls long, bands array<long>, print binary, n int"))
         # Without enough bands every sequence takes the exact path.
         least = EXACT if bands else 2**31 - 1
-        few = sketches.where(F.col("n") < least).agg(F.max("n")).first()[0]
-        filled = sketches.where(F.col("n") >= least)
+        return sketches, sketches.where(F.col("n") >= least), sketches.where(F.col("n") < least).agg(F.max("n")).first()[0], least
+
+    def met(self, filled: DataFrame) -> DataFrame:
+        """a, b: classes that share a band, each pair once. Bands of more than HOT classes are dealt to sub-keys."""
+        of_band = F.count("*").over(Window.partitionBy("band"))
+        banded = filled.select("cls", F.explode("bands").alias("band")).withColumn("f", of_band).where("f > 1")
+        cold, hot = banded.where(f"f <= {HOT}"), banded.where(f"f > {HOT}").withColumn("salts", F.ceil(F.col("f") / HOT).cast("int"))
+        side = lambda df, c: df.select(F.col("cls").alias(c), "band")
+        pairs = side(cold, "a").join(side(cold, "b"), "band").where("a < b").select("a", "b")
+        left = hot.select(F.col("cls").alias("a"), "band", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"))
+        right = hot.select(F.col("cls").alias("b"), "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        return pairs.unionByName(left.join(right, ["band", "salt"]).where("a < b").select("a", "b")).distinct()
+
+    def judged(self, filled: DataFrame) -> DataFrame:
+        """a, b, what: the pairs that met, and whether the pivot table or the Hamming bound dropped them."""
         pivots = [bytes(r[0]) for r in filled.orderBy(F.xxhash64("cls")).limit(PIVOTS).select("print").collect()]
-        banded = filled.select("cls", F.explode("bands").alias("band"))
-        left, right = banded.select(F.col("cls").alias("a"), "band"), banded.select(F.col("cls").alias("b"), "band")
-        met = left.join(right, "band").where("a < b").select("a", "b").distinct()
-        prints = filled.select("cls", "print")
-        near = (
-            met.join(prints.select(F.col("cls").alias("a"), F.col("print").alias("pa")), "a")
-            .join(prints.select(F.col("cls").alias("b"), F.col("print").alias("pb")), "b")
-            .select("a", "b", "pa", "pb")
-            .mapInArrow(pivot_filter(pivots, hamming_bound(self.similarity)), "a long, b long")
-        )
-        if few is not None:
-            near = near.unionByName(self.rare_meetings(sketches.select("cls", "n"), few, least))
+        table = cut(filled.select("cls", "print").mapInArrow(tabled(pivots), "cls long, print binary, row binary"))
+        side = lambda c: table.select(F.col("cls").alias(c), F.col("print").alias(f"p{c}"), F.col("row").alias(f"r{c}"))
+        both = self.met(filled).join(side("a"), "a").join(side("b"), "b")
+        return both.select("a", "b", "pa", "pb", "ra", "rb").mapInArrow(judged(hamming_bound(self.similarity)), "a long, b long, what byte")
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """a, b, similarity of those pairs that are alike, on the sequences themselves."""
         return (
             near.join(self.texts.select(F.col("cls").alias("a"), F.col("seq").alias("sa")), "a")
             .join(self.texts.select(F.col("cls").alias("b"), F.col("seq").alias("sb")), "b")
             .select("a", "b", "sa", "sb")
             .mapInArrow(verifier(self.similarity), "a long, b long, similarity double")
-        )
+        )
+
+    def links(self) -> DataFrame:
+        """a, b, similarity: alike classes, a < b, each pair once."""
+        sketches, filled, few, least = self.sketched()
+        near = self.judged(filled).where(F.col("what") == KEPT).select("a", "b")
+        if few is not None:
+            near = near.unionByName(self.rare_meetings(sketches.select("cls", "n"), few, least))
+        return self.verified(near)
+
+    def filters(self) -> DataFrame:
+        """n_met, n_by_pivots, n_by_hamming, n_verified, n_alike: how many pairs of fingerprints each step was left with; one row."""
+        _, filled, _, _ = self.sketched()
+        pairs = cut(self.judged(filled))
+        n = lambda what, name: F.count_if(F.col("what") == what).alias(name)
+        alike = self.verified(pairs.where(F.col("what") == KEPT).select("a", "b")).agg(F.count("*").alias("n_alike"))
+        return pairs.agg(F.count("*").alias("n_met"), n(BY_PIVOTS, "n_by_pivots"), n(BY_HAMMING, "n_by_hamming"), n(KEPT, "n_verified")).join(F.broadcast(alike))
 
     def pairs(self) -> DataFrame:
         """rec_id_1, rec_id_2: all alike records, smaller id first, equal sequences among them."""

@@ -49,6 +49,11 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(_sequences(spark, sf_dir)).groups()
 
 
+def p4_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of fingerprints that met, and how many the pivot table, the Hamming bound and the exact check dropped."""
+    return neardup.NearDuplicates(_sequences(spark, sf_dir)).filters()
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
@@ -116,12 +121,19 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_audit, p1_truth, p1_sizes, p4_found, p4_groups, p6_found, p6_spans, p6_items, p7_usage, p7_shares, p7_limits, p7_blocks, p8_found, p8_composition)
+    for f in (p1_found, p1_audit, p1_truth, p1_sizes, p4_found, p4_groups, p4_filters, p6_found, p6_spans, p6_items, p7_usage, p7_shares, p7_limits, p7_blocks, p8_found, p8_composition)
 }
 
 _KEY = "nullif(lower(regexp_replace(nucleotide_id, '^\\s+|\\s+$', '', 'g')), '')"
 _WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 
+_ALIKE = """with recursive r as (select rec_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') as s from (select rec_id, seq from mined_proteins union all select rec_id, seq from drift_variants) where seq is not null),
+    w as (select distinct rec_id, s[i:i+4] as w from r, lateral (select unnest(range(1, len(s) - 3)) as i) where len(s) >= 5),
+    n as (select rec_id, count(*) as n from w group by 1),
+    b as (select x.rec_id as a, y.rec_id as b, count(*) as c from w x join w y on x.w = y.w and x.rec_id < y.rec_id group by 1, 2),
+    alike as (select a, b from b join n na on na.rec_id = a join n nb on nb.rec_id = b where 2 * c >= na.n + nb.n - c)
+    """
+
 # Stretches from all runs of 13 words: runs that overlap or adjoin are one; then every place of short answers beside them; then characters.
 _STRETCHES = f"""with q as (select item_id, part, w from (select item_id, 'question' as part, {_WORDS.format("question")} as w from eval_items union all select item_id, 'answer', {_WORDS.format("answer")} from eval_items)),
     d as (select doc_id, {_WORDS.format("text")} as w, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') as raw, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') as gaps from documents where text <> ''),
@@ -147,11 +159,12 @@ ORACLE = {
         f as (select visit_no, k, (visit_no - low) // ((width + g - 1) // g) as gen, g, min(visit_no) over (partition by k) as first_of_all from v, m where k is not null),
         p as (select gen * 16 // g as period, first_of_all < min(visit_no) or k in (select k from b where k is not null) as truly from f group by gen, g, k, first_of_all)
         select cast(period as integer) as period, count(*) as n_probes, count(*) filter (where truly) as n_said_seen, count(*) filter (where truly) as n_truly_seen, 0 as n_false_seen, 0 as n_missed from p group by 1""",
-    "p4_found": """with r as (select rec_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') as s from (select rec_id, seq from mined_proteins union all select rec_id, seq from drift_variants) where seq is not null),
-        w as (select distinct rec_id, s[i:i+4] as w from r, lateral (select unnest(range(1, len(s) - 3)) as i) where len(s) >= 5),
-        n as (select rec_id, count(*) as n from w group by 1),
-        b as (select x.rec_id as a, y.rec_id as b, count(*) as c from w x join w y on x.w = y.w and x.rec_id < y.rec_id group by 1, 2)
-        select a as rec_id_1, b as rec_id_2 from b join n na on na.rec_id = a join n nb on nb.rec_id = b where 2 * c >= na.n + nb.n - c""",
+    "p4_found": _ALIKE + "select a as rec_id_1, b as rec_id_2 from alike",
+    "p4_groups": _ALIKE + """, c as (select rec_id, min(rec_id) over (partition by s) as class_id, count(*) over (partition by s) as n_copies from r),
+        e as (select distinct x.class_id as a, y.class_id as b from alike p join c x on x.rec_id = p.a join c y on y.rec_id = p.b where x.class_id <> y.class_id),
+        both_ways as (select a, b from e union select b, a from e),
+        reach as (select class_id as a, class_id as b from c union select reach.a, w.b from reach join both_ways w on w.a = reach.b)
+        select rec_id, class_id, n_copies, (select min(b) from reach where reach.a = class_id) as group_id, (select count(*) from both_ways w where w.a = class_id) as n_links from c""",
     "p7_limits": """select t.source, count(d.doc_id) as n_docs, t.max_repeats, true as within_repeats, true as on_target
         from (select lower(trim(source)) as source, min(max_repeats) as max_repeats from mix_targets where target_share is not null and trim(source) <> '' group by 1) t
         left join documents d on lower(trim(d.source)) = t.source group by 1, 3""",

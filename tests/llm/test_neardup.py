@@ -105,6 +105,22 @@ def test_hot_stretches_meet_in_every_sub_key(spark, monkeypatch):
     assert want and {tuple(r) for r in neardup.NearDuplicates(df, 0.4).pairs().collect()} == want
 
 
+def test_hot_bands_meet_in_every_sub_key(spark, monkeypatch):
+    recs = data()
+    df = spark.createDataFrame([(i, s, 0, 0, 0) for i, s in recs], SCHEMA)
+    one = {tuple(r) for r in neardup.NearDuplicates(df).pairs().collect()}
+    monkeypatch.setattr(neardup, "HOT", 4)
+    assert {tuple(r) for r in neardup.NearDuplicates(df).pairs().collect()} == one
+
+
+def test_filters_add_up(spark):
+    rng = random.Random(2)
+    base = ["".join(rng.choice(LETTERS) for _ in range(500)) for _ in range(8)]
+    texts = [edit(rng, b, rng.choice([2, 10, 30])) for b in base for _ in range(6)]
+    r = neardup.NearDuplicates(spark.createDataFrame([(i, s, 0, 0, 0) for i, s in enumerate(texts)], SCHEMA)).filters().collect()[0]
+    assert r["n_met"] == r["n_by_pivots"] + r["n_by_hamming"] + r["n_verified"] and r["n_alike"] == len({p for p in brute(list(enumerate(texts))) if texts[p[0]] != texts[p[1]]})
+
+
 def test_bands_and_bound_follow_similarity():
     assert neardup.bands_of(0.5) == (32, 2) and neardup.HAMMING_BOUND == 95
     assert neardup.bands_of(0.3)[0] > 32 and neardup.hamming_bound(0.3) > 95 and neardup.bands_of(0.01) == (0, 0)
