@@ -163,3 +163,26 @@ def suggestion_holds(seq: str | Column, pos1: Column, wild: Column, mutant: Colu
         & wild.rlike("^[A-Z]$") & mutant.rlike("^[A-Z]$") & (wild != mutant)
         & (F.substring(seq, pos1, F.lit(1)) == wild) & ~F.array_contains(protected_, pos1 - 1)
     )
+
+
+def span_summary(spans: str | Column) -> Column:
+    """Spans as `100-250, 400-550`, first and last residue from 1; `-` without any."""
+    text = F.array_join(F.transform(col(spans), lambda s: F.concat((s["start"] + 1).cast("string"), F.lit("-"), s["end"].cast("string"))), ", ")
+    return F.when(F.size(col(spans)) > 0, text).otherwise("-")
+
+
+def lobes(domains: str | Column, spans: str | Column, seq_len: Column, nuclease: list[str], recognition: list[str], pad: int = 50) -> tuple[Column, Column]:
+    """Nuclease spans, in order and not merged, and recognition spans.
+
+    domains: array of (signature, start, end); the part of a signature before a dot counts. Without a
+    nuclease domain the motifs, widened, stand for them; without a recognition domain the rest of
+    the sequence does.
+    """
+    pick = lambda names: F.transform(
+        F.filter(col(domains), lambda d: F.substring_index(d["signature"], ".", 1).isin(names)), lambda d: F.struct(d["start"].cast("int").alias("start"), d["end"].cast("int").alias("end"))
+    )
+    wide = F.transform(col(spans), lambda s: F.struct(F.greatest(s["start"] - pad, F.lit(0)).cast("int").alias("start"), F.least(s["end"] + pad, seq_len).cast("int").alias("end")))
+    named = lambda names: F.coalesce(pick(names), F.array().cast(SPAN))
+    nuc = let(named(nuclease), lambda n: F.array_sort(F.when(F.size(n) > 0, n).otherwise(wide)))
+    rec = let(named(recognition), lambda r: F.when(F.size(r) > 0, merged(r)).when(F.size(nuc) > 0, complement(merged(nuc), seq_len)).otherwise(r))
+    return nuc, rec

@@ -51,3 +51,38 @@ def first_failure(checks: DataFrame) -> DataFrame:
     """item, ok, reason: the reason of the first check that fails, by order. checks: item, ord, ok, reason; a null ok fails."""
     bad = ~F.coalesce("ok", F.lit(False))
     return checks.groupBy("item").agg((~F.bool_or(bad)).alias("ok"), F.min_by(F.when(bad, F.col("reason")), F.when(bad, F.col("ord"))).alias("reason"))
+
+
+def tissue_risks(samples: DataFrame, members: DataFrame, organs: list[str], most: float = 100.0, cost: int = 25) -> DataFrame:
+    """item, n_risks, score, risks (sorted): organs in which a gene of the item is expressed above `most`, 100 less `cost` for each, 0 at least.
+
+    samples: gene, tissue, value; members: item, gene. The expression of a gene in an organ is the
+    mean over the tissues whose label holds the organ's name, case ignored, of the mean in each.
+    """
+    means = samples.groupBy("gene", "tissue").agg(F.avg("value").alias("m"))
+    organ = F.explode(F.filter(F.array(*[F.lit(o) for o in organs]), lambda o: F.contains(F.lower("tissue"), F.lower(o))))
+    high = means.select("gene", "m", organ.alias("organ")).groupBy("gene", "organ").agg(F.avg("m").alias("m")).where(F.col("m") > most)
+    found = members.distinct().join(high, "gene").groupBy("item").agg(F.count("*").alias("n_risks"), F.array_sort(F.collect_list(F.concat(F.col("gene").cast("string"), F.lit(" in "), "organ"))).alias("risks"))
+    n = F.coalesce("n_risks", F.lit(0))
+    return members.select("item").distinct().join(found, "item", "left").select("item", n.alias("n_risks"), F.greatest(F.lit(0), 100 - cost * n).alias("score"), F.coalesce("risks", F.array().cast("array<string>")).alias("risks"))
+
+
+def fusion_checks(genes: DataFrame, normal_most: float = 1.0, cancer_least: float = 1.0, factor: float = 2.0) -> DataFrame:
+    """item, ord, ok, reason of each gene of a fusion: low in normal, present in cancer; for first_failure.
+
+    genes: item, ord, gene, by_organ, and the statistics of context_stats, taken from the organs of
+    the fusion's cancers where by_organ holds. With samples of both kinds there, enrichment counts
+    instead of absence; with none of either the strict rule does.
+    """
+    has_normal, has_cancer = F.col("normal_n") > 0, F.col("cancer_n") > 0
+    low = F.col("cancer_mean") < cancer_least
+    by_organ = F.col("by_organ") & (has_normal | has_cancer)
+    reason = (
+        F.when(by_organ & has_normal & has_cancer, F.when(low, "cancer mean too low in organ").when((F.col("cancer_mean") < factor * F.col("normal_mean")) & (F.col("normal_mean") > 0), "not enriched in organ"))
+        .when(by_organ & has_cancer, F.when(low, "cancer mean too low in organ, no normal"))
+        .when(by_organ, F.lit("no cancer samples in organ"))
+        .when(~has_normal, F.lit("no normal-tissue data"))
+        .when(F.col("normal_max") > normal_most, F.lit("expressed in normal"))
+        .when(has_cancer & low, F.lit("not expressed in cancer"))
+    )
+    return genes.select("item", "ord", reason.isNull().alias("ok"), F.concat_ws(": ", F.col("gene").cast("string"), reason).alias("reason"))

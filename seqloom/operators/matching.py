@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna, texts
+from seqloom.operators.specificity import top_per_group
 
 #: Shortest junction that is used as given.
 LEAST_JUNCTION = 30
@@ -38,6 +39,30 @@ def top_targets(targets: DataFrame, n: int, *order) -> DataFrame:
     return targets.orderBy(*order).limit(n)
 
 
+def with_disease(targets: DataFrame, disease_map: DataFrame | None = None) -> DataFrame:
+    """Adds disease: the target's own primary_disease, even a null one, if there is such a column; else that of the map; else Unknown.
+
+    disease_map: fusion, diseases, a row per fusion.
+    """
+    if "primary_disease" in targets.columns:
+        return targets.withColumn("disease", F.col("primary_disease"))
+    if disease_map is None:
+        return targets.withColumn("disease", F.lit("Unknown"))
+    return targets.join(disease_map.select("fusion", F.col("diseases").alias("_d")), "fusion", "left").withColumn("disease", F.coalesce("_d", F.lit("Unknown"))).drop("_d")
+
+
+def first_of_list(targets: DataFrame, group: str, n: int, order: str) -> DataFrame:
+    """The first n distinct fusions of each list in its own order, with their place: group, fusion, rank."""
+    once = targets.where("fusion is not null").groupBy(group, "fusion").agg(F.min(order).alias("_o"))
+    return top_per_group(once, group, n, F.asc("_o"), F.asc("fusion")).select(group, "fusion", "rank")
+
+
+def first_candidates(leads: DataFrame, disease: str, n: int | None, order: str) -> DataFrame:
+    """Leads with a named disease, in the given order, the first n of them if a cap is set."""
+    rows = leads.where(texts.valid_disease(disease)).orderBy(order)
+    return rows if n is None else rows.limit(n)
+
+
 def match(targets: DataFrame, enzymes: DataFrame) -> DataFrame:
     """Each target that can be cut with each enzyme.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["targets", "data_problems", "sequences", "similarity", "relations", "streams"]
+MODULES = ["targets", "data_problems", "sequences", "similarity", "relations", "records", "streams"]
 
 
 def registry() -> tuple[dict, dict]:

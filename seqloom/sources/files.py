@@ -134,6 +134,23 @@ def latest_file(spark: SparkSession, pattern: str, by_name: bool = False) -> str
     return best[0]["path"] if best else None
 
 
+def fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """id, base_id, seq, qual, file, read_no of FASTQ files, which Spark reads from any of its file systems, large ones in splits.
+
+    Lines are numbered in their file by the counts of the splits before, and four of them make a
+    read, wherever the splits fall; an incomplete last read is left out.
+    """
+    rows = _text(spark, paths).select("value", "file", F.col("ord.block").alias("block"), F.col("ord.row").alias("row"))
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A split is read by one task in order, so the numbers of its rows have no gaps.
+    line = rows.join(sizes.withColumn("before", before).drop("n"), ["file", "block"]).withColumn("line", F.col("before") + F.col("row") - F.col("first"))
+    at = lambda i: F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", "\r$", "")))
+    reads = line.groupBy("file", F.expr("line div 4").alias("read_no")).agg(at(0).alias("head"), at(1).alias("seq"), at(3).alias("qual")).where("qual is not null")
+    read_id = F.regexp_extract("head", r"^@?(\S*)", 1)
+    return reads.select(read_id.alias("id"), F.regexp_replace(read_id, r"[./][12]$", "").alias("base_id"), "seq", "qual", "file", "read_no")
+
+
 class FastqSource(DataSource):
     """Reads of FASTQ files, plain or gzip: id, base_id, seq, qual, file, ord. One task per file, record by record; option path: files joined by commas."""
 
