@@ -45,7 +45,6 @@ def scores() -> np.ndarray:
 
 
 SCORES = scores()
-SCORE_LISTS = SCORES.tolist()
 
 
 def identity(a: str, b: str, gap: int = 0) -> float:
@@ -58,25 +57,28 @@ def identity(a: str, b: str, gap: int = 0) -> float:
         return 0.0
     x, y = (np.frombuffer(s.encode(), np.uint8).astype(np.int64) - 65 for s in (a, b))
     steps = np.arange(len(y) + 1) * gap
-    h = np.empty((len(x) + 1, len(y) + 1), np.int32)
-    h[0] = -steps
+    above = -steps.astype(np.int32)
     against = np.ascontiguousarray(SCORES[:, y])
-    for i in range(1, len(x) + 1):
-        best = h[i - 1] - gap
-        np.maximum(best[1:], h[i - 1, :-1] + against[x[i - 1]], out=best[1:])
+    # Where the best score of a place comes over a pair, and where over a gap in b: a bit each, so two texts of 35,000 letters take 300 MB.
+    pair, gap_b = [], []
+    for c in x.tolist():
+        over = above[:-1] + against[c]
+        row = above - gap
+        np.maximum(row[1:], over, out=row[1:])
         # A run of gaps in a costs gap per letter: a running maximum once that slope is taken out.
-        if gap:
-            h[i] = np.maximum.accumulate(best + steps) - steps
-        else:
-            np.maximum.accumulate(best, out=h[i])
-    x, y, at = x.tolist(), y.tolist(), h.item
+        row = np.maximum.accumulate(row + steps) - steps if gap else np.maximum.accumulate(row)
+        pair.append(np.packbits(row[1:] == over))
+        gap_b.append(np.packbits(row[1:] == above[1:] - gap))
+        above = row
+    x, y = x.tolist(), y.tolist()
     i, j, same, columns = len(x), len(y), 0, 0
     while i and j:
         columns += 1
-        if at(i, j) == at(i - 1, j - 1) + SCORE_LISTS[x[i - 1]][y[j - 1]]:
+        at, bit = (j - 1) >> 3, 7 - ((j - 1) & 7)
+        if pair[i - 1][at] >> bit & 1:
             same += x[i - 1] == y[j - 1]
             i, j = i - 1, j - 1
-        elif at(i, j) == at(i - 1, j) - gap:
+        elif gap_b[i - 1][at] >> bit & 1:
             i -= 1
         else:
             j -= 1
