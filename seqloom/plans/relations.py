@@ -110,10 +110,14 @@ def window_means(spark, d):
 
 
 def functional_scores(spark, d):
-    """Structures by the number of checks they pass, then the distance of their catalytic residues."""
+    """Structures by the number of checks they pass, the distance of their catalytic residues, and the best score of a variant."""
     both = _structures(spark, d).select("structure", structure.distance_in(F.col("atoms"), F.col("spans")).alias("distance"), structure.means_in(F.col("atoms"), F.col("spans")).alias("m")).select("structure", "distance", "m.*")
     rank = structure.functional_rank([F.col("distance") < 25, F.col("linker") < 75, F.col("domain1") > 70, F.col("domain2") > 70], -F.coalesce("distance", F.lit(1e9)))
-    return both.withColumn("rank", rank).orderBy(F.desc("rank"), "structure").select("structure", "rank.n_passed", F.round(F.col("rank.tie"), 4).alias("tie"))
+    # Equal ranks: the best score of a variant first, then the smallest number.
+    best = best_scores(spark, d).select(F.col("structure").alias("id"), "best")
+    ids = table(spark, d, "mined_proteins").select(F.col("rec_id").alias("structure"), F.trim("sequence_id").alias("id"))
+    ordered = both.withColumn("rank", rank).join(ids, "structure").join(best, "id", "left").orderBy(F.desc("rank"), F.desc(F.coalesce("best", F.lit(0.0))), "structure")
+    return ordered.select("structure", "rank.n_passed", F.round(F.col("rank.tie"), 4).alias("tie"))
 
 
 def best_scores(spark, d):
