@@ -90,7 +90,19 @@ _L2 = "list_distance(cast(a.embedding as double[]), cast(b.embedding as double[]
 _CLOSEST = f"""(select vec_id, greatest(coalesce(max(c), 0), 0) as sim, case when max(c) > 0 then arg_max(ref, struct_pack(c := c, r := -ref)) end as ref
     from (select a.vec_id, b.vec_id as ref, {_COS} as c from embeddings a, (select arg_min(vec_id, vec_id) as vec_id, arg_min(embedding, vec_id) as embedding from embeddings group by label) b) group by 1)"""
 
+# Profiles as family.profiles counts them, all pairs of a part, and the closure of their links.
+_GROUPS = """with recursive p as (select rec_id as rec, seq, len(regexp_extract_all(seq, 'R[^\\n]{4,6}H')) as part from (select rec_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') as seq from mined_proteins where seq is not null) where len(seq) >= 50),
+    t as (select rec, part, ((ascii(seq[i]) * 676 + ascii(seq[i+1]) * 26 + ascii(seq[i+2])) * 2654435761) % 4294967296 as w from p, lateral (select unnest(range(1, len(seq) - 1)) as i)),
+    v as (select rec, part, w // 16777216 as b, sum(case when (w // 8388608) % 2 = 1 then 1 else -1 end) as x from t group by 1, 2, 3),
+    n as (select rec, sqrt(sum(x * x)) as n from v group by 1),
+    d as (select y.rec as a, z.rec as b, sum(y.x * z.x) as dot from v y join v z on y.part = z.part and y.b = z.b and y.rec < z.rec group by 1, 2),
+    e as (select a, b from d join n na on na.rec = a join n nb on nb.rec = b where dot / (na.n * nb.n) >= 0.7 - 1e-12),
+    both_ways as (select a, b from e union select b, a from e),
+    reach as (select rec as a, rec as b from p union select reach.a, w.b from reach join both_ways w on w.a = reach.b)
+    select a as rec, min(b) as group_id from reach group by 1"""
+
 ORACLE = {
+    "similarity_groups": _GROUPS,
     "cosine_topk": f"select query, id, rank, round(c, 4) as score from (select a.vec_id as query, b.vec_id as id, {_COS} as c, row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) as rank from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank <= 5",
     "l2_nearest": f"select query, id, round(c, 4) as distance from (select a.vec_id as query, b.vec_id as id, {_L2} as c, row_number() over (partition by a.vec_id order by {_L2}, b.vec_id) as rank from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank = 1",
     "interpolate_nearest": f"""with p as (select x.vec_id as first_id, s as step, list_transform(x.embedding, lambda e, i: (1 - s / 4.0) * cast(e as double) + s / 4.0 * cast(y.embedding[i] as double)) as embedding
