@@ -236,5 +236,7 @@ ORACLE = {
     "structured_frames": f"""select contig_id, count(*) as n, count(*) filter (where orf like 'M%' and regexp_matches(orf, '^.*R[^\\n]{{4,6}}H.{{2,}}$') and tail >= 2 and not
         case when frame < 3 then start_nt < 30 or start_nt + 3 * len(orf) > contig_len - 30 else start_nt + 3 * len(orf) > contig_len - 31 or start_nt < 30 end) as n_ok
         from (select *, len(string_split(regexp_replace(orf, {_MOTIF}, chr(1), 'g'), chr(1))[-1]) as tail from {_ORFS} where len(orf) >= 30) group by 1""",
+    "tandem_repeats": f"""select contig_id, cast(row_number() over (partition by contig_id order by k, i) - 1 as integer) as place, motif from (
+        select contig_id, k, dna[i:i+k-1] as motif, min(i) as i from {_DNA}, range(20, 48) s(k), lateral (select unnest(range(1, len(dna) - 2 * k + 2)) as i) where dna[i:i+k-1] = dna[i+k:i+2*k-1] group by 1, 2, 3)""",
     "family_size": "select split_part(new_id, '_', 1) as family, count(distinct new_id) as n_members, max(hepn_count) as most_motifs from family_manifest group by 1",
 }
