@@ -65,14 +65,14 @@ def path_values(lines: DataFrame, payload: str = "payload", keep: list[str] = ()
     return out.select(*keep, "path", F.when(kind.isNotNull(), F.col("raw")).alias("raw"), kind.alias("kind"))
 
 
-def file_types(values: DataFrame) -> DataFrame:
-    """Per file and path: number of lines with it, of non-null values of each kind, and the resulting type.
+def file_types(values: DataFrame, by: list[str] = FILE) -> DataFrame:
+    """Per file (the columns of by) and path: number of lines with it, of non-null values of each kind, and the resulting type.
 
     boolean if all values are; integer if all are; decimal if all are numbers and any has a
     decimal point; text otherwise; null if there is no non-null value.
     """
     n = lambda k: F.count_if(F.col("kind") == k)
-    stats = values.groupBy(*FILE, "path").agg(
+    stats = values.groupBy(*by, "path").agg(
         F.count("*").alias("n_lines"), F.count("kind").alias("n_values"), n("boolean").alias("n_boolean"), n("integer").alias("n_integer"), n("decimal").alias("n_decimal"), n("text").alias("n_text")
     )
     v = F.col("n_values")
@@ -82,11 +82,16 @@ def file_types(values: DataFrame) -> DataFrame:
     return stats.withColumn("type", kind)
 
 
+def files_of(lines: DataFrame) -> DataFrame:
+    """One row per file_id with the FILE columns; where lines of a file differ or are null, the smallest value. A null file_id is no file."""
+    seen = lines.where("file_id is not null").select(*FILE).distinct()
+    return seen.groupBy("file_id").agg(*[F.min(c).alias(c) for c in FILE if c != "file_id"]).select(*FILE)
+
+
 def neighbours(lines: DataFrame) -> DataFrame:
     """Per file the one before it by file_no in its series: FILE columns, prev_id, prev_no (null for the first)."""
     by_no = Window.partitionBy("series_id").orderBy("file_no", "file_id")
-    files = lines.select(*FILE).distinct()
-    return files.withColumn("prev_id", F.lag("file_id").over(by_no)).withColumn("prev_no", F.lag("file_no").over(by_no))
+    return files_of(lines).withColumn("prev_id", F.lag("file_id").over(by_no)).withColumn("prev_no", F.lag("file_no").over(by_no))
 
 
 def changes(lines: DataFrame) -> DataFrame:
@@ -97,10 +102,10 @@ def changes(lines: DataFrame) -> DataFrame:
     A rename is found by the values: over the records in both files where either field is
     non-null, the texts agree in at least four fifths. A field with no value in one of the two
     files has no type there and gives no type change. A series of one file, an empty table or
-    lines without a readable payload give no change.
+    lines without a readable payload give no change; lines without a file_id are of no file, and
+    rows delivered twice change nothing.
     """
-    values = path_values(lines, keep=[*FILE, "line_no", "record_key"])
-    types = cut(file_types(values).select("file_id", "path", "type"))
+    types = cut(file_types(path_values(lines, keep=["file_id"]), ["file_id"]).select("file_id", "path", "type"))
     pairs = neighbours(lines).where("prev_id is not null").select("file_id", "prev_id")
 
     now = pairs.join(types, "file_id").select("file_id", "path", F.col("type").alias("new_type"), F.lit(True).alias("has_new"))
@@ -150,10 +155,10 @@ def canonical_names(lines: DataFrame, found: DataFrame) -> DataFrame:
     its series, name), so a chain of n renames takes log2(n) joins.
     """
     by_no = Window.partitionBy("series_id").orderBy("file_no", "file_id")
-    files = lines.select(*FILE).distinct().withColumn("pos", F.row_number().over(by_no)).select("series_id", "file_id", "pos")
+    files = files_of(lines).withColumn("pos", F.row_number().over(by_no)).select("series_id", "file_id", "pos")
     # An edge says: from this position on, new_field carries on what was old_field before it.
     edges = found.where("change_kind = 'renamed'").join(files, "file_id").groupBy("series_id", "pos", "new_field").agg(F.min("old_field").alias("old_field"))
-    names = path_values(lines, keep=["series_id", "file_id"]).select("series_id", "file_id", "path").distinct().join(files.drop("series_id"), "file_id")
+    names = path_values(lines, keep=["file_id"]).select("file_id", "path").distinct().join(files, "file_id")
     # The edge in force for a field at a position is the last one at or before it.
     upto = Window.partitionBy("series_id", "name").orderBy("pos", "is_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -174,14 +179,16 @@ def consistent(lines: DataFrame, dataset: str, schema: dict[str, str], found: Da
 
     schema: column -> Spark type, by the names the fields had in the first file. A value that
     does not cast gives null there and its raw text under the column's name in failed_casts; a
-    field outside the schema goes to extras under the name it first had. Lines without a
-    readable payload stay, with nulls.
+    field outside the schema goes to extras under the name it first had. Of several
+    values of one origin in a line the first by name, then by text, holds the column; the others
+    go to extras under their own names. Lines without a readable payload stay, with nulls; a row
+    delivered twice is one line.
     """
     own = lines.where(F.col("dataset") == dataset)
     values = path_values(own, keep=["file_id", "line_no"]).join(canonical_names(own, found), ["file_id", "path"])
-    maps = values.where("raw is not null").groupBy("file_id", "line_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("\u0001", "origin", "path").alias("k"), "raw")))).alias("m0"))
-    # Two fields of one origin in the same line: the first by name holds the column, the other stays in extras under its own name.
-    joined = own.select("file_id", "line_no", "record_key").join(maps, ["file_id", "line_no"], "left").withColumn("e", F.map_entries("m0"))
+    entry = F.struct(F.concat_ws("\u0001", "origin", "path").alias("key"), F.col("raw").alias("value"))
+    entries = values.where("raw is not null").groupBy("file_id", "line_no").agg(F.array_sort(F.collect_set(entry)).alias("e"))
+    joined = own.groupBy("file_id", "line_no").agg(F.min("record_key").alias("record_key")).join(entries, ["file_id", "line_no"], "left")
 
     def raw(name: str) -> Column:
         return F.get(F.filter("e", lambda x: F.split(x["key"], "\u0001")[0] == name), F.lit(0))["value"]
@@ -192,8 +199,8 @@ def consistent(lines: DataFrame, dataset: str, schema: dict[str, str], found: Da
         F.array(*[F.struct(F.lit(name).alias("key"), F.when(c.isNull() & F.col(f"_raw_{i}").isNotNull(), F.col(f"_raw_{i}")).alias("value")) for i, (name, c) in enumerate(cols.items())]),
         lambda x: x["value"].isNotNull(),
     )
-    rest = F.transform(
-        F.filter("e", lambda x: ~F.split(x["key"], "\u0001")[0].isin(list(schema))),
-        lambda x: F.struct(F.split(x["key"], "\u0001")[0].alias("key"), x["value"].alias("value")),
-    )
+    origin = lambda x: F.split(x["key"], "\u0001")[0]
+    in_schema = lambda x: origin(x).isin(list(schema))
+    beside = F.filter("e", lambda x, i: ~in_schema(x) | F.exists(F.slice("e", F.lit(1), i), lambda y: origin(y) == origin(x)))
+    rest = F.transform(beside, lambda x: F.struct(F.when(in_schema(x), F.split(x["key"], "\u0001")[1]).otherwise(origin(x)).alias("key"), x["value"].alias("value")))
     return with_raw.select("file_id", "line_no", "record_key", *[c.alias(name) for name, c in cols.items()], F.to_json(rest).alias("extras"), F.to_json(failed).alias("failed_casts"))

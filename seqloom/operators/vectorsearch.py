@@ -18,7 +18,7 @@ SLAB_BYTES, TILE = 64 << 20, 1024
 
 
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    return df.where(f"{vector} is not null").select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
 
 
 def _matrix(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
     """query, id, score, rank: the k best rows of base for each query, ties by id; l2 scores are negative distances.
 
     base is scanned in place once per slab of queries; k rows per query and task are shuffled.
-    Null vectors are left out, and vectors of length zero have no cosine; a query does not find
+    Null ids and vectors are left out, and vectors of length zero have no cosine; a query does not find
     itself unless told. Without queries or rows the result is empty.
     """
     spark = base.sparkSession

@@ -70,6 +70,20 @@ def test_consistent_table(spark):
     assert json.loads(out[0]["failed_casts"]) == [{"key": "count", "value": "none"}] and json.loads(out[1]["extras"]) == [{"key": "extra", "value": "1"}]
 
 
+def test_repeated_lines_and_fields(spark):
+    one = lines(spark, {
+        (1, 1): [(k, {"name": f"n{k}", "count": k}) for k in range(5)],
+        (1, 2): [(k, f'{{"name": "n{k}", "Count": {k}, "name": "other", "count": 9, "extra": 1, "extra": 2}}') for k in range(5)],
+    })
+    nulls = spark.createDataFrame([(None, "d", 1, 2, 0, 1, '{"z": 1}', "x", "y"), (102, None, None, None, 0, None, None, None, None), (None,) * 9], SCHEMA)
+    df = one.unionByName(one).unionByName(nulls)
+    assert found(df) == found(one) and drift.changes(df).count() == drift.changes(one).count()
+    out = drift.consistent(df, "d", {"name": "string", "count": "int"}, drift.changes(df)).where("file_id = 102").orderBy("line_no").collect()
+    assert len(out) == 5 and [r["name"] for r in out] == [f"n{k}" for k in range(5)] and {r["count"] for r in out} == {9}
+    beside = [{"key": "Count", "value": "3"}, {"key": "extra", "value": "1"}, {"key": "extra", "value": "2"}, {"key": "name", "value": "other"}]
+    assert json.loads(out[3]["extras"]) == beside
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert found(df) == set()

@@ -136,9 +136,9 @@ def test_vector_search(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 8))
     v[17] = v[5]
-    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 8)], "id long, v array<double>")
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 8), (None, v[5].tolist())], "id long, v array<double>")
     got = {}
-    for r in vectorsearch.nearest(df.where("id % 20 = 5"), df, "id", "v", 3).collect():
+    for r in vectorsearch.nearest(df.where("id % 20 = 5 or id is null"), df, "id", "v", 3).collect():
         got.setdefault(r["query"], {})[r["rank"]] = r["id"]
     u = v / np.sqrt((v * v).sum(1))[:, None]
     for q in range(5, 300, 20):
