@@ -207,21 +207,23 @@ class NearDuplicates:
 
     Only the letters A to Z of seq count, in upper case. A null seq is alike to nothing; one
     without letters equals others without letters; sequences shorter than five letters are alike
-    only if equal. Ids may repeat over the tables joined to records only if the caller made them
-    distinct; other columns are not read.
+    only if equal. A row delivered twice counts once, and one without an id is left out. Ids may
+    repeat over the tables joined to records only if the caller made them distinct; other columns
+    are not read.
     """
 
     def __init__(self, records: DataFrame, similarity: float = 0.5):
         letters = F.regexp_replace(F.upper("seq"), "[^A-Z]+", "")
         self.similarity = similarity
-        rows = records.where("seq is not null").select("rec_id", letters.alias("seq"))
+        rows = records.where("rec_id is not null and seq is not null").select("rec_id", letters.alias("seq"))
         # The SHA-256 of a text stands for it: no two texts with the same one are known, so equal classes are equal texts.
-        hashed = rows.select("rec_id", F.unhex(F.sha2("seq", 256)).alias("h"))
+        # Distinct by id and hash, so that copies of a hot text stay spread over all tasks.
+        hashed = rows.select("rec_id", F.unhex(F.sha2("seq", 256)).alias("h")).distinct()
         # Only classes of several copies are joined back, and those are summed before the shuffle.
         copied = hashed.groupBy("h").agg(F.min("rec_id").alias("cls"), F.count("*").alias("n")).where("n > 1").drop("n")
         members = cut(hashed.join(copied, "h", "left").select("rec_id", F.coalesce("cls", "rec_id").alias("cls")))
         self.members = members
-        self.texts = rows.join(members.where("rec_id = cls").select("rec_id"), "rec_id").select(F.col("rec_id").alias("cls"), "seq")
+        self.texts = rows.join(members.where("rec_id = cls").select("rec_id"), "rec_id").select(F.col("rec_id").alias("cls"), "seq").dropDuplicates(["cls"])
 
     def rare_meetings(self, sizes: DataFrame, most: int, least: int = EXACT) -> DataFrame:
         """a, b: classes, one of them with fewer than `least` stretches, that can be alike. sizes: cls, n; most: the largest n below `least`.

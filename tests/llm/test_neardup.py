@@ -82,6 +82,15 @@ def test_pairs_and_groups(spark):
     assert all(groups[i]["group_id"] == root(i) for i in groups)
 
 
+def test_repeated_rows_and_null_ids(spark):
+    recs = data()[:24]
+    df = spark.createDataFrame(recs, "rec_id long, seq string")
+    again = df.unionByName(df.where("rec_id % 3 = 0")).unionByName(spark.createDataFrame([(None, recs[0][1]), (None, None)], "rec_id long, seq string"))
+    once, twice = neardup.NearDuplicates(df), neardup.NearDuplicates(again)
+    assert sorted(map(tuple, once.pairs().collect())) == sorted(map(tuple, twice.pairs().collect()))
+    assert sorted(map(tuple, once.groups().collect())) == sorted(map(tuple, twice.groups().collect()))
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.05])
 def test_short_sequences_lose_no_pair(spark, similarity):
     rng = random.Random(3)
