@@ -12,8 +12,8 @@
 
 Pivot tables alone cannot find candidates here: the distances of unrelated 256-bit fingerprints
 to any reference gather around 128 +- 8, closer together than the bound of 95 that similarity
-0.5 asks for. Pairs are therefore first met on equal pairs of min-hashes (32 of them; a pair of
-similarity 0.5 shares none with probability 0.75**32 = 0.0001).
+0.5 asks for. Pairs are therefore first met on equal triples of min-hashes (69 of them; a pair of
+similarity 0.5 shares none with probability 0.875**69 = 0.0001).
 
 That holds only if most parts are filled. Sequences with few distinct stretches share parts, so
 they take an exact path instead of 2. to 4.: two sets of similarity s have a stretch in common
@@ -36,6 +36,8 @@ from seqloom.runtime import cut
 K = 5
 PARTS = 256
 PIVOTS = 32
+#: Min-hashes in a band, where the parts allow it: unrelated pairs that meet grow with the square of the classes, and each further min-hash divides them by hundreds.
+WIDEST = 3
 #: A sequence with fewer distinct stretches is held against others by its rarest stretches, without fingerprints.
 EXACT = 300
 #: Sequences of one stretch that meet in one sub-key.
@@ -44,9 +46,9 @@ HOT = 1000
 _SALT = 0x9E3779B97F4A7C15
 
 
-def bands_of(similarity: float) -> tuple[int, int]:
-    """Bands, and min-hashes in each, so that a pair of this similarity shares none with probability 0.0001; (0, 0) if the parts are too few for that."""
-    for width in (2, 1):
+def bands_of(similarity: float, widest: int = 2) -> tuple[int, int]:
+    """Bands, and min-hashes in each (at most `widest`), so that a pair of this similarity shares none with probability 0.0001; (0, 0) if the parts are too few for that."""
+    for width in range(widest, 0, -1):
         bands = max(1, round(math.log(1e-4) / math.log1p(-min(similarity, 0.99) ** width))) if similarity > 0 else PARTS + 1
         if bands * width <= PARTS:
             return bands, width
@@ -113,7 +115,9 @@ def sketcher(bands: int, width: int):
                 if made:
                     with np.errstate(over="ignore"):
                         part = made[0][: width * bands].reshape(bands, width) if bands else np.zeros((0, 1), np.uint64)
-                        key = (part[:, 0] * np.uint64(31) + part[:, -1]) * np.uint64(_SALT) + np.arange(bands, dtype=np.uint64)
+                        key = np.arange(bands, dtype=np.uint64)
+                        for column in part.T:
+                            key = (key * np.uint64(31) + column) * np.uint64(_SALT)
                     ids.append(i)
                     keys.append(key.view(np.int64))
                     prints.append(made[1])
@@ -247,7 +251,7 @@ class NearDuplicates:
 
     def sketched(self) -> tuple[DataFrame, DataFrame, int | None, int]:
         """Sketches of the classes; those that take fingerprints; the most stretches of a class that does not; and the stretches from which one does."""
-        bands, width = bands_of(self.similarity)
+        bands, width = bands_of(self.similarity, WIDEST)
         sketches = cut(self.texts.where(f"length(seq) >= {K}").mapInArrow(sketcher(bands, width), "cls long, bands array<long>, print binary, n int"))
         # Without enough bands every sequence takes the exact path.
         least = EXACT if bands else 2**31 - 1

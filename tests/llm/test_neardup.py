@@ -151,3 +151,10 @@ def test_empty(spark):
     assert near.pairs().count() == 0 and near.groups().count() == 0
     lone = neardup.NearDuplicates(spark.createDataFrame([(1, "ACDEFGHIK", 0, 0, 0), (2, None, 0, 0, 0)], SCHEMA))
     assert lone.pairs().count() == 0 and lone.groups().count() == 1
+
+
+def test_unrelated_pairs_seldom_meet(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ACDEFG") for _ in range(600)) for _ in range(800)]
+    r = neardup.NearDuplicates(spark.createDataFrame([(i, s, 0, 0, 0) for i, s in enumerate(texts)], SCHEMA)).filters().collect()[0]
+    assert r["n_met"] < 800 * 799 / 2 / 100
