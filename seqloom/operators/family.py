@@ -162,30 +162,31 @@ def in_rounds(points: DataFrame, links: DataFrame, threshold: float) -> DataFram
     best; for average linkage that gives the same tree as merging one pair after another. Ties
     go to the smallest ids.
     """
-    state = cut(points.select("id", F.col("id").alias("cluster"), "v"))
-    edges = cut(links.select("a", "b").distinct())
+    state = cut(points.select("id", F.col("id").alias("cluster"), "v"), bare=True)
+    edges = cut(links.select("a", "b").distinct(), bare=True)
     member = state.select("id", "cluster")
     sums = state.select("cluster", "v", F.lit(1).alias("n"))
     while True:
         va, vb = (sums.select(F.col("cluster").alias(c), F.col("v").alias(f"v{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
         scored = edges.join(va, "a").join(vb, "b").withColumn("sim", F.round(vectors.dot("va", "vb") / (F.col("na") * F.col("nb")), 12)).where(F.col("sim") >= threshold)
-        scored = cut(scored.select("a", "b", "sim"))
+        scored = cut(scored.select("a", "b", "sim"), bare=True)
         sides = scored.select("a", "b", "sim").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
         # One order for both ends, so that ties cannot run in a circle.
         best = sides.groupBy("a").agg(F.max_by("b", F.struct("sim", -F.least("a", "b"), -F.greatest("a", "b"))).alias("b"))
-        merge = cut(best.alias("x").join(best.alias("y"), (F.col("x.b") == F.col("y.a")) & (F.col("y.b") == F.col("x.a"))).where("x.a < x.b").select(F.col("x.a").alias("to"), F.col("x.b").alias("from")))
+        merge = cut(best.alias("x").join(best.alias("y"), (F.col("x.b") == F.col("y.a")) & (F.col("y.b") == F.col("x.a"))).where("x.a < x.b").select(F.col("x.a").alias("to"), F.col("x.b").alias("from")), bare=True)
         if not merge.limit(1).count():
             return member
         renamed = merge.select(F.col("from").alias("cluster"), "to")
-        member = cut(member.join(renamed, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
+        member = cut(member.join(renamed, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")), bare=True)
         sums = cut(
             sums.join(renamed, "cluster", "left").withColumn("cluster", F.coalesce("to", "cluster")).groupBy("cluster")
             .agg(F.collect_list("v").alias("vs"), F.sum("n").alias("n"))
-            .select("cluster", F.aggregate(F.slice("vs", 2, 2), F.get("vs", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q)).alias("v"), "n")
+            .select("cluster", F.aggregate(F.slice("vs", 2, 2), F.get("vs", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q)).alias("v"), "n"),
+            bare=True,
         )
         fa, fb = (merge.select(F.col("from").alias(c), F.col("to").alias(f"t{c}")) for c in "ab")
         moved = edges.join(fa, "a", "left").join(fb, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
-        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), bare=True)
 
 
 def numbered(members: DataFrame, prefix: str = "SN") -> DataFrame:

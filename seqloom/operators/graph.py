@@ -16,15 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     longest chain. Loops and repeated links do no harm; no links give an empty result.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = cut(edges)
+    edges = cut(edges, bare=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = cut(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), bare=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        small = cut(small)
+        small = cut(small, bare=True)
         # Equal counts and nothing new: the stars stand.
         same = small.count() == edges.count() and edges.join(small, ["u", "v"], "left_anti").limit(1).count() == 0
         edges = small

@@ -90,6 +90,24 @@ def test_average_linkage(spark, local):
     assert dict(rows(family.average_linkage(points, links, cut, local))) == want
 
 
+def test_rounds_keep_no_expected_sizes(spark, monkeypatch):
+    sizes = []
+
+    def watched(df, *how, **named):
+        out = cut(df, *how, **named)
+        sizes.append(int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length())
+        return out
+
+    cut = family.cut
+    monkeypatch.setattr(family, "cut", watched)
+    near = [np.sqrt(np.array([1 - e, e])) for e in np.cumsum(np.linspace(0.001, 0.002, 32))]
+    v = [(i, np.pad(x, (0, family.DIM - 2)).tolist()) for i, x in enumerate(near)]
+    points = spark.createDataFrame(v, "id long, v array<double>")
+    links = spark.createDataFrame([(i, j) for i in range(32) for j in range(i + 1, 32)], "a long, b long")
+    assert {r["cluster"] for r in family.average_linkage(points, links, 0.7, local=0).collect()} == {0}
+    assert len(sizes) > 20 and max(sizes[3:]) <= 64
+
+
 def test_similar_recall_and_families(spark):
     rng = random.Random(6)
     seqs = []
