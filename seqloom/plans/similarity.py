@@ -8,7 +8,7 @@ from seqloom.functions import protein, vectors
 from seqloom.operators import alignment, family, vectorsearch
 from seqloom.operators.graph import components
 from seqloom.operators.specificity import top_per_group
-from seqloom.runtime import cut, spread, table
+from seqloom.runtime import cut, spread, table, written
 
 
 def _vectors(spark, d):
@@ -78,9 +78,9 @@ def family_clusters(spark, d):
 def similarity_groups(spark, d):
     """Connected groups of profiles of cosine 0.7 or more with the same number of motifs."""
     rows = _family_rows(spark, d)
-    points = cut(family.profiles(rows, "rec", "seq").join(rows.select("rec", "part"), "rec").withColumnRenamed("rec", "id"))
+    points = written(family.profiles(rows, "rec", "seq", "part").withColumnRenamed("rec", "id"), "profiles")
     links = cut(family.similar(points, 0.7))
-    return points.select(F.col("id").alias("rec")).join(components(links).withColumnRenamed("node", "rec"), "rec", "left").select("rec", F.coalesce("label", "rec").alias("group_id"))
+    return points.select(F.col("id").alias("rec")).join(components(links).withColumnRenamed("node", "rec"), "rec", "left").select("rec", F.coalesce("label", "rec").alias("group_id")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (cosine_topk, l2_nearest, interpolate_nearest, max_ref_similarity, similarity_band, top_n_per_ref, mean_vectors, parent_identity, family_clusters, similarity_groups)}

@@ -108,6 +108,45 @@ def test_rounds_keep_no_expected_sizes(spark, monkeypatch):
     assert len(sizes) > 20 and max(sizes[3:]) <= 64
 
 
+def test_component_of_over_500_points_is_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    # A dense group that grows point by point, and copies, which tie: both merge one pair a round.
+    v = np.concatenate([rng.standard_normal(family.DIM) + rng.standard_normal((500, family.DIM)) * np.linspace(0.1, 0.75, 500)[:, None], np.zeros((100, family.DIM))])
+    v[500:] = v[3]
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    sums, left, want = v @ v.T, list(range(600)), {i: i for i in range(600)}
+    size = np.ones(600)
+    while True:
+        mean = np.triu(np.round(sums[np.ix_(left, left)] / np.outer(size[left], size[left]), 12) + 2, 1)
+        x, y = divmod(int(mean.argmax()), len(left))
+        if mean[x, y] < 0.7 + 2:
+            break
+        a, b = left[x], left[y]
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
+        size[a] += size[b]
+        left.remove(b)
+        want = {i: a if c == b else c for i, c in want.items()}
+    assert 1 < len(set(want.values())) < 500
+    points = spark.createDataFrame([(i, v[i].tolist()) for i in range(600)], "id long, v array<double>")
+    links = spark.createDataFrame([(0, i) for i in range(1, 600)], "a long, b long")
+    monkeypatch.setattr(family, "in_rounds", None)
+    assert dict(rows(family.average_linkage(points, links, 0.7))) == want
+
+
+def test_rounds_take_equal_vectors_as_one(spark, monkeypatch):
+    cuts = []
+    cut = family.cut
+    monkeypatch.setattr(family, "cut", lambda *how, **named: cuts.append(1) or cut(*how, **named))
+    v = np.zeros((42, family.DIM))
+    v[:20, 0] = v[20:40, 1] = 1
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    links = spark.createDataFrame([(0, i) for i in range(1, 41)] + [(40, 41)], "a long, b long")
+    got = dict(rows(family.average_linkage(points, links, 0.7, local=0)))
+    assert got == {i: 0 if i < 20 else 20 if i < 40 else i for i in range(42)}
+    assert len(cuts) < 15
+
+
 def test_similar_recall_and_families(spark):
     rng = random.Random(6)
     seqs = []
@@ -150,6 +189,12 @@ def test_similar_finds_every_link(spark, block):
     assert sorted((r["a"], r["b"]) for r in family.similar(points, 0.7, *([block] if block != 2000 else [])).collect()) == sorted(want)
 
 
+def test_similar_leaves_out_points_without_an_id(spark):
+    x, y = ([1.0 if i == k else 0.0 for i in range(family.DIM)] for k in (0, 1))
+    points = spark.createDataFrame([(1, 1, x), (None, 1, x), (2, 1, y), (None, 1, y), (3, 1, y)], "id long, part long, v array<double>")
+    assert rows(family.similar(points, 0.7)) == [(2, 3)]
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 8))
